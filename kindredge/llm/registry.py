@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
 from .near_dedup import near_duplicates
+from .packing import pack
 
 
 def op5_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
