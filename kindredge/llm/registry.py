@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import table
+from .decontaminate import contaminated
 from .near_dedup import near_duplicates
 from .packing import pack
 
 
+def op4_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
