@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import contaminated
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import classify
 
 
 def op4_decontamination(spark, sf_dir):
@@ -22,6 +23,10 @@ def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
