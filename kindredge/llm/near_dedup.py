@@ -2,11 +2,12 @@
 
 Every document becomes the set of its distinct 5-word shingles; equal sets are one *representative*. Of each
 representative a minwise signature is kept. In ``trees`` independent trees, a node picks a few signature coordinates at
-random (each with probability 1 / (threshold * coordinates)) and sends a representative to the child named by the
-coordinate and its minwise value. Nodes of up to ``leaf`` members are compared exhaustively (by signature estimate);
-larger nodes are first compared with a few random pivots, and branch again as long as they hold members that are not yet
-connected. Every candidate is confirmed on the full sets. No step gathers a group larger than ``leaf`` in one task: large
-nodes are only counted, joined with their pivots and branched, row by row.
+random (each with probability 1 / (BRANCH * coordinates), so that similar sets keep meeting) and sends a representative
+to the child named by the coordinate and its minwise value. Nodes of up to ``leaf`` members are compared exhaustively (by
+signature estimate); larger nodes are first compared with a few random pivots, and branch again, twice as deep each
+round, as long as they hold members that are not yet connected. Every candidate is confirmed on the full sets. No step
+gathers a group larger than ``leaf`` in one task: large nodes are only counted, joined with their pivots and branched,
+row by row.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ from .common import Work, bounded_batches, chunks, maybe_broadcast, mix64, shing
 from .components import components
 
 COORDINATES = 64
-TREES = 16
-LEAF = 64
+#: Further coordinates of 8 bits, for the estimate alone.
+EXTRA = 64
+TREES = 12
+LEAF = 256
 PIVOTS = 4
-#: Candidates are taken this far below the threshold: over three standard errors of a 64-coordinate estimate.
-MARGIN = 0.14
-MAX_DEPTH = 60
+#: A little below any threshold of use: a pair at 0.85 has over one common child in the mean, so deep nodes keep it.
+BRANCH = 0.7
+#: Candidates are taken this far below the threshold: over three standard errors of the estimate.
+MARGIN = 0.10
+MAX_ROUNDS = 12
+MAX_STEPS = 8
 
 
 def _u64(seed: int, n: int) -> np.ndarray:
@@ -33,7 +39,7 @@ def _u64(seed: int, n: int) -> np.ndarray:
 
 
 def _sketcher(k: int):
-    mult = _u64(11, COORDINATES) | np.uint64(1)
+    mult = _u64(11, COORDINATES + EXTRA) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
@@ -42,12 +48,17 @@ def _sketcher(k: int):
                 hashes, bounds = shingle_sets(texts[a:b], k)
                 n = np.diff(bounds)
                 some, starts = n > 0, bounds[:-1]
-                sig = np.zeros((b - a, COORDINATES), np.uint32)
+                sig = np.zeros((b - a, 4 * COORDINATES + EXTRA), np.uint8)
+                wide = sig[:, : 4 * COORDINATES].view(np.uint32)
                 key = np.zeros((b - a, 2), np.uint64)
                 if len(hashes):
                     at = starts[some]
                     for j, m in enumerate(mult):
-                        sig[some, j] = (np.minimum.reduceat(hashes * m, at) >> np.uint64(24)).astype(np.uint32)
+                        low = np.minimum.reduceat(hashes * m, at) >> np.uint64(24)
+                        if j < COORDINATES:
+                            wide[some, j] = low.astype(np.uint32)
+                        else:
+                            sig[some, j + 3 * COORDINATES] = low.astype(np.uint8)
                     key[some, 0] = np.add.reduceat(mix64(hashes + np.uint64(5)), at)
                     key[some, 1] = np.bitwise_xor.reduceat(mix64(hashes + np.uint64(7)), at)
                 yield pa.RecordBatch.from_arrays([
@@ -58,32 +69,36 @@ def _sketcher(k: int):
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * COORDINATES + EXTRA)
 
 
-def _brancher(threshold: float, trees: int = 0):
-    """(node, rep, sig) -> (node, rep) of the children; with ``trees``, of the children of that many roots."""
+def _brancher(trees: int, steps: int):
+    """(node, rep, sig) -> (node, rep) of the descendants ``steps`` below; with ``trees``, of that many roots."""
     coords = _u64(23, COORDINATES)
-    limit = np.uint64(int((1 << 64) / (threshold * COORDINATES)))
+    limit = np.uint64(int((1 << 64) / (BRANCH * COORDINATES)))
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            reps, sig = batch.column(1), _signatures(batch.column(2))
-            if trees:
-                at = np.repeat(np.arange(len(node)), trees)
-                node, reps, sig = np.tile(np.arange(1, trees + 1, dtype=np.uint64), len(node)), reps.take(pa.array(at)), sig[at]
-            rows, cols = np.nonzero(mix64(node[:, None] ^ coords[None, :]) < limit)
-            child = mix64(mix64(node[rows] * np.uint64(31) + coords[cols]) ^ sig[rows, cols])
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), reps.take(pa.array(rows))], names=["node", "rep"])
+            reps, sigs = batch.column(1), _signatures(batch.column(2))[:, : 4 * COORDINATES].copy().view(np.uint32)
+            for a in range(0, batch.num_rows, 2048):
+                node = batch.column(0).slice(a, 2048).to_numpy(zero_copy_only=False).view(np.uint64)
+                at = np.arange(a, a + len(node))
+                if trees:
+                    at = np.repeat(at, trees)
+                    node = np.tile(np.arange(1, trees + 1, dtype=np.uint64), len(node))
+                for _ in range(steps):
+                    rows, cols = np.nonzero(mix64(node[:, None] ^ coords[None, :]) < limit)
+                    node = mix64(mix64(node[rows] * np.uint64(31) + coords[cols]) ^ sigs[at[rows], cols])
+                    at = at[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), reps.take(pa.array(at))], names=["node", "rep"])
 
     return run
 
 
 def _close(sa, sb, na, nb, least: float):
-    return ((sa == sb).mean(-1) >= least) & (np.minimum(na, nb) >= least * np.maximum(na, nb))
+    w = 4 * COORDINATES
+    same = (sa[..., :w].view(np.uint32) == sb[..., :w].view(np.uint32)).sum(-1) + (sa[..., w:] == sb[..., w:]).sum(-1)
+    return (same >= least * (COORDINATES + EXTRA)) & (np.minimum(na, nb) >= (least + MARGIN) * np.maximum(na, nb))
 
 
 def _leaf_pairs(least: float):
@@ -96,13 +111,14 @@ def _leaf_pairs(least: float):
                 continue
             i, j = np.triu_indices(b - a, 1)
             i, j = i + a, j + a
-            near = comp[i] != comp[j]
+            near = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= (least + MARGIN) * np.maximum(n[i], n[j]))
             i, j = i[near], j[near]
-            if not len(i):
-                continue
-            ok = _close(sig[i], sig[j], n[i], n[j], least)
-            if ok.any():
-                yield np.minimum(rep[i[ok]], rep[j[ok]]), np.maximum(rep[i[ok]], rep[j[ok]])
+            for c in range(0, len(i), 8192):
+                x, y = i[c: c + 8192], j[c: c + 8192]
+                ok = _close(sig[x], sig[y], n[x], n[y], least)
+                if ok.any():
+                    x, y = rep[x[ok]], rep[y[ok]]
+                    yield np.minimum(x, y), np.maximum(x, y)
 
     def run(batches):
         held = None
@@ -162,34 +178,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
     bounded_batches(spark)
     work = Work(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    threshold = num / den
     base = work.save(docs.mapInArrow(_sketcher(k), "doc_id long, n long, k1 long, k2 long, sig binary"), "base")
     keyed = base.filter("n > 0 and doc_id is not null")
     reps = work.save(keyed.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     own = base.select("doc_id", "sig", "n", "k1", "k2").withColumnRenamed("doc_id", "rep")
     sigs = work.save(reps.join(own, ["rep", "n", "k1", "k2"]).select("rep", "n", "sig").dropDuplicates(["rep", "n", "sig"]), "sigs")
 
-    member = sigs.select(F.lit(0).cast("long").alias("node"), "rep", "sig").mapInArrow(_brancher(threshold, trees), "node long, rep long")
+    member = sigs.select(F.lit(0).cast("long").alias("node"), "rep", "sig").mapInArrow(_brancher(trees, 1), "node long, rep long")
     comps, links = None, None
-    for depth in range(MAX_DEPTH):
-        found = _level(work, depth, member, sigs, comps, docs, k, num, den, leaf, threshold)
+    for depth in range(MAX_ROUNDS):
+        found = _level(work, depth, member, sigs, comps, docs, k, num, den, leaf)
         if found is None:
             break
         new_links, big = found
         links = new_links if links is None else links.union(new_links)
-        graph = work.save(components(links, work, f"cc{depth}"), f"comps{depth}")
-        comps = graph
+        if new_links.head(1):
+            comps = work.save(components(links, work, f"cc{depth}"), f"comps{depth}")
         if big is None:
             break
-        label = F.coalesce("component", "rep")
-        big = big.join(graph.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", label.alias("component"))
-        open_nodes = big.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        again = work.save(big.join(open_nodes.select("node"), "node", "left_semi").select("node", "rep"), f"open{depth}")
-        if not again.head(1):
-            break
-        member = again.join(sigs, "rep").select("node", "rep", "sig").mapInArrow(_brancher(threshold), "node long, rep long")
+        if comps is not None:
+            big = big.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+            open_nodes = big.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+            big = work.save(big.join(open_nodes.select("node"), "node", "left_semi").select("node", "rep"), f"open{depth}")
+            if not big.head(1):
+                break
+        member = big.join(sigs, "rep").select("node", "rep", "sig").mapInArrow(_brancher(0, min(MAX_STEPS, 2 << depth)), "node long, rep long")
     else:
-        raise RuntimeError("nodes still branch at the greatest depth")
+        raise RuntimeError("nodes still branch after the last round")
 
     classes = reps
     if comps is not None:
@@ -201,10 +216,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, comps, docs: DataFrame, k: int, num: int, den: int, leaf: int, threshold: float):
+def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, comps, docs: DataFrame, k: int, num: int, den: int, leaf: int):
     """Compare the nodes of one depth; (links, members of large nodes or None), or None if no node has two members."""
-    least = threshold - MARGIN
-    member = work.save(member.distinct(), f"member{depth}")
+    least = num / den - MARGIN
+    member = work.save(member if depth == 0 else member.distinct(), f"member{depth}")
     sizes = work.save(member.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{depth}")
     member = work.save(member.join(sizes, "node"), f"shared{depth}")
     if not member.head(1):
