@@ -6,6 +6,7 @@ import public_tokenizers
 
 from .common import table
 from .decontaminate import contaminated
+from .jpeg import media_columns
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import classify
@@ -19,6 +20,10 @@ def op5_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark, sf_dir):
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
