@@ -10,6 +10,11 @@ from .jpeg import media_columns
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import classify
+from .warc import archive_round_trip
+
+
+def op2_warc(spark, sf_dir):
+    return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op4_decontamination(spark, sf_dir):
