@@ -1,11 +1,11 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 Every document becomes the set of its distinct 5-word shingles; equal sets are one *representative*. Of each
-representative a minwise signature is kept. In ``trees`` independent trees, a node picks a few signature coordinates at
+representative a minwise signature is kept. In ``trees`` independent trees (each with a root for every class of set
+sizes, classes overlapping so that no pair within the threshold is parted), a node picks a few signature coordinates at
 random (each with probability 1 / (BRANCH * coordinates), so that similar sets keep meeting) and sends a representative
 to the child named by the coordinate and its minwise value. Nodes of up to ``leaf`` members are compared exhaustively (by
-signature estimate); larger nodes are first compared with a few random pivots, and branch again, twice as deep each
-round, as long as they hold members that are not yet connected. Every candidate is confirmed on the full sets. No step
+signature estimate); larger nodes are first compared with a few random pivots, and branch again as long as they hold members that are not yet connected. Every candidate is confirmed on the full sets. No step
 gathers a group larger than ``leaf`` in one task: large nodes are only counted, joined with their pivots and branched,
 row by row.
 """
@@ -25,13 +25,16 @@ COORDINATES = 64
 EXTRA = 64
 TREES = 12
 LEAF = 256
-PIVOTS = 4
+PIVOTS = 3
 #: A little below any threshold of use: a pair at 0.85 has over one common child in the mean, so deep nodes keep it.
 BRANCH = 0.7
 #: Candidates are taken this far below the threshold: over three standard errors of the estimate.
 MARGIN = 0.10
-MAX_ROUNDS = 12
-MAX_STEPS = 8
+MAX_ROUNDS = 40
+#: Levels that a round after the first goes down at once.
+STEPS = 2
+#: Roots are split by set size: a class spans this many threshold ratios, and sets near its upper end join the next too.
+SPAN = 3
 
 
 def _u64(seed: int, n: int) -> np.ndarray:
@@ -72,25 +75,37 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * COORDINATES + EXTRA)
 
 
-def _brancher(trees: int, steps: int):
-    """(node, rep, sig) -> (node, rep) of the descendants ``steps`` below; with ``trees``, of that many roots."""
+def _roots(n: np.ndarray, trees: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) of the roots that each set size belongs to."""
+    width = -SPAN * np.log(threshold)
+    own = np.floor(np.log(n) / width).astype(np.int64)
+    above = np.floor((np.log(n) - np.log(threshold)) / width + 1e-9).astype(np.int64)
+    rows = np.concatenate((np.arange(len(n)), np.flatnonzero(above > own)))
+    size = np.concatenate((own, above[above > own]))
+    return np.repeat(rows, trees), (np.repeat(size, trees) * 1000 + np.tile(np.arange(1, trees + 1), len(rows))).astype(np.uint64)
+
+
+def _brancher(trees: int, steps: int, threshold: float):
+    """(node, rep, n, sig) -> (node, rep, n) of the descendants ``steps`` below; with ``trees``, of the roots."""
     coords = _u64(23, COORDINATES)
     limit = np.uint64(int((1 << 64) / (BRANCH * COORDINATES)))
 
     def run(batches):
         for batch in batches:
-            reps, sigs = batch.column(1), _signatures(batch.column(2))[:, : 4 * COORDINATES].copy().view(np.uint32)
+            reps, sizes = batch.column(1), batch.column(2)
+            sigs = _signatures(batch.column(3))[:, : 4 * COORDINATES].copy().view(np.uint32)
             for a in range(0, batch.num_rows, 2048):
                 node = batch.column(0).slice(a, 2048).to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.arange(a, a + len(node))
                 if trees:
-                    at = np.repeat(at, trees)
-                    node = np.tile(np.arange(1, trees + 1, dtype=np.uint64), len(node))
+                    rows, node = _roots(sizes.slice(a, 2048).to_numpy(zero_copy_only=False), trees, threshold)
+                    at = at[rows]
                 for _ in range(steps):
                     rows, cols = np.nonzero(mix64(node[:, None] ^ coords[None, :]) < limit)
                     node = mix64(mix64(node[rows] * np.uint64(31) + coords[cols]) ^ sigs[at[rows], cols])
                     at = at[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), reps.take(pa.array(at))], names=["node", "rep"])
+                pick = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), reps.take(pick), sizes.take(pick)], names=["node", "rep", "n"])
 
     return run
 
@@ -184,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
     own = base.select("doc_id", "sig", "n", "k1", "k2").withColumnRenamed("doc_id", "rep")
     sigs = work.save(reps.join(own, ["rep", "n", "k1", "k2"]).select("rep", "n", "sig").dropDuplicates(["rep", "n", "sig"]), "sigs")
 
-    member = sigs.select(F.lit(0).cast("long").alias("node"), "rep", "sig").mapInArrow(_brancher(trees, 1), "node long, rep long")
+    member = sigs.select(F.lit(0).cast("long").alias("node"), "rep", "n", "sig").mapInArrow(_brancher(trees, 1, num / den), "node long, rep long, n long")
     comps, links = None, None
     for depth in range(MAX_ROUNDS):
         found = _level(work, depth, member, sigs, comps, docs, k, num, den, leaf)
@@ -197,12 +212,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
         if big is None:
             break
         if comps is not None:
-            big = big.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+            big = big.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("component"))
             open_nodes = big.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-            big = work.save(big.join(open_nodes.select("node"), "node", "left_semi").select("node", "rep"), f"open{depth}")
+            big = work.save(big.join(open_nodes.select("node"), "node", "left_semi").select("node", "rep", "n"), f"open{depth}")
             if not big.head(1):
                 break
-        member = big.join(sigs, "rep").select("node", "rep", "sig").mapInArrow(_brancher(0, min(MAX_STEPS, 2 << depth)), "node long, rep long")
+        member = big.join(sigs, ["rep", "n"]).select("node", "rep", "n", "sig").mapInArrow(_brancher(0, STEPS, num / den), "node long, rep long, n long")
     else:
         raise RuntimeError("nodes still branch after the last round")
 
@@ -226,14 +241,17 @@ def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, comps, do
         return None
     known = sigs if comps is None else sigs.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     known = known.withColumn("comp", F.col("rep")) if comps is None else known
-    small = member.filter(F.col("size") <= leaf).join(known, "rep").select("node", "rep", "comp", "n", "sig")
+    small = member.filter(F.col("size") <= leaf).join(known, ["rep", "n"]).select("node", "rep", "comp", "n", "sig")
     pairs = small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_pairs(least), "a long, b long").distinct()
-    big = member.filter(F.col("size") > leaf).select("node", "rep")
+    big = member.filter(F.col("size") > leaf).select("node", "rep", "n")
     has_big = bool(big.head(1))
     if has_big:
-        pick = [F.min(F.struct(F.xxhash64(F.lit(j), "node", "rep"), "rep"))["rep"].alias(f"p{j}") for j in range(PIVOTS)]
+        # the hash does not depend on the node: nodes of one group of similar sets elect the same few pivots
+        pick = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * depth + j), "rep"), "rep", "n")).alias(f"p{j}") for j in range(PIVOTS)]
         pivots = work.save(big.groupBy("node").agg(*pick), f"pivots{depth}")
-        stars = big.join(pivots, "node").select("rep", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p")).filter("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        stars = big.join(pivots, "node").select("rep", "n", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p"))
+        stars = stars.filter((F.col("rep") != F.col("p.rep")) & (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")))
+        stars = stars.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
         side = lambda x: known.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("comp").alias(f"c{x}"))
         stars = stars.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb").select("a", "b", "na", "nb", "sa", "sb")
         pairs = pairs.union(stars.mapInArrow(_estimated(least), "a long, b long")).distinct()
