@@ -7,6 +7,7 @@ import public_tokenizers
 from .common import table
 from .decontaminate import contaminated
 from .jpeg import media_columns
+from .line_dedup import near_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import classify
@@ -17,6 +18,10 @@ def op2_warc(spark, sf_dir):
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return near_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
