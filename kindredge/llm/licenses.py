@@ -97,9 +97,9 @@ def oracle() -> str:
     return f"""
 WITH known(s, id) AS (VALUES {known}), rules(rule, license, pat) AS (VALUES {rules}),
 cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(text, '[.;!?]+[ \\t\\r]+|[\\r\\n]+') AS parts FROM documents WHERE text IS NOT NULL),
-sent AS (SELECT r, doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS at FROM cut),
-hit AS (SELECT r, doc_id, at, id FROM sent JOIN known ON known.s = trim(regexp_replace(lower(sent.s), '[^a-z0-9]+', ' ', 'g'))),
-seqs AS (SELECT r, doc_id, list(at ORDER BY at) AS ats, string_agg('<' || id || '>', '' ORDER BY at) AS seq FROM hit GROUP BY r, doc_id)
+sent AS (SELECT r, doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS pos FROM cut),
+hit AS (SELECT r, doc_id, pos, id FROM sent JOIN known ON known.s = trim(regexp_replace(lower(sent.s), '[^a-z0-9]+', ' ', 'g'))),
+seqs AS (SELECT r, doc_id, list(pos ORDER BY pos) AS ats, string_agg('<' || id || '>', '' ORDER BY pos) AS seq FROM hit GROUP BY r, doc_id)
 SELECT doc_id, rule, license, CAST((length(seq) - length(replace(seq, pat, ''))) / length(pat) AS BIGINT) AS matches,
   CAST(ats[1 + length(regexp_replace(left(seq, instr(seq, pat) - 1), '[^<]', '', 'g'))] AS BIGINT) AS first_sentence
 FROM seqs JOIN rules ON contains(seq, pat)"""
