@@ -13,6 +13,7 @@ from .line_dedup import near_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import classify
+from .scoring import lm_scores
 from .warc import archive_round_trip
 
 
@@ -40,6 +41,10 @@ def op7_media(spark, sf_dir):
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
