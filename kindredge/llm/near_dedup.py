@@ -3,7 +3,7 @@
 Every document becomes the set of its distinct 5-word shingles; equal sets are one *representative*. Of each
 representative a minwise signature is kept. In ``trees`` independent trees (each with a root for every class of set
 sizes, classes overlapping so that no pair within the threshold is parted), a node picks a few signature coordinates at
-random (each with probability 1 / (BRANCH * coordinates), so that similar sets keep meeting) and sends a representative
+random (each with probability 1 / (threshold * coordinates): less similar sets meet ever more rarely) and sends a representative
 to the child named by the coordinate and its minwise value. Nodes of up to ``leaf`` members are compared exhaustively (by
 signature estimate); larger nodes are first compared with a few random pivots, and branch again as long as they hold members that are not yet connected. Every candidate is confirmed on the full sets. No step
 gathers a group larger than ``leaf`` in one task: large nodes are only counted, joined with their pivots and branched,
@@ -23,16 +23,14 @@ from .components import components
 COORDINATES = 64
 #: Further coordinates of 8 bits, for the estimate alone.
 EXTRA = 64
-TREES = 12
+TREES = 16
 LEAF = 256
 PIVOTS = 3
-#: A little below any threshold of use: a pair at 0.85 has over one common child in the mean, so deep nodes keep it.
-BRANCH = 0.7
 #: Candidates are taken this far below the threshold: over three standard errors of the estimate.
 MARGIN = 0.10
 MAX_ROUNDS = 40
-#: Levels that a round after the first goes down at once.
-STEPS = 2
+#: Levels that the second round and those after it go down at once.
+STEPS = (2, 4)
 #: Roots are split by set size: a class spans this many threshold ratios, and sets near its upper end join the next too.
 SPAN = 3
 
@@ -88,7 +86,7 @@ def _roots(n: np.ndarray, trees: int, threshold: float) -> tuple[np.ndarray, np.
 def _brancher(trees: int, steps: int, threshold: float):
     """(node, rep, n, sig) -> (node, rep, n) of the descendants ``steps`` below; with ``trees``, of the roots."""
     coords = _u64(23, COORDINATES)
-    limit = np.uint64(int((1 << 64) / (BRANCH * COORDINATES)))
+    limit = np.uint64(int((1 << 64) / (threshold * COORDINATES)))
 
     def run(batches):
         for batch in batches:
@@ -217,7 +215,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
             big = work.save(big.join(open_nodes.select("node"), "node", "left_semi").select("node", "rep", "n"), f"open{depth}")
             if not big.head(1):
                 break
-        member = big.join(sigs, ["rep", "n"]).select("node", "rep", "n", "sig").mapInArrow(_brancher(0, STEPS, num / den), "node long, rep long, n long")
+        member = big.join(sigs, ["rep", "n"]).select("node", "rep", "n", "sig").mapInArrow(_brancher(0, STEPS[depth > 0], num / den), "node long, rep long, n long")
     else:
         raise RuntimeError("nodes still branch after the last round")
 
