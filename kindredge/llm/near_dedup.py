@@ -5,7 +5,7 @@ representative a minwise signature is kept. In ``trees`` independent trees (each
 sizes, classes overlapping so that no pair within the threshold is parted), a node picks a few signature coordinates at
 random (each with probability 1 / (threshold * coordinates): less similar sets meet ever more rarely) and sends a representative
 to the child named by the coordinate and its minwise value. Nodes of up to ``leaf`` members are compared exhaustively (by
-signature estimate); larger nodes are first compared with a few random pivots, and branch again as long as they hold members that are not yet connected. Every candidate is confirmed on the full sets. No step
+signature estimate; of pairs far above the threshold a spanning forest is tested, as it connects them all); larger nodes are first compared with a few random pivots, and branch again as long as they hold members that are not yet connected. Every candidate is confirmed on the full sets. No step
 gathers a group larger than ``leaf`` in one task: large nodes are only counted, joined with their pivots and branched,
 row by row.
 """
@@ -22,12 +22,14 @@ from .components import components
 
 COORDINATES = 64
 #: Further coordinates of 8 bits, for the estimate alone.
-EXTRA = 64
+EXTRA = 192
 TREES = 16
-LEAF = 256
-PIVOTS = 3
+LEAF = 1024
+PIVOTS = 2
+#: Estimates from which a pair in a leaf needs no test where others already connect its ends.
+STRONG = 0.92
 #: Candidates are taken this far below the threshold: over three standard errors of the estimate.
-MARGIN = 0.10
+MARGIN = 0.07
 MAX_ROUNDS = 40
 #: Levels that the second round and those after it go down at once.
 STEPS = (2, 4)
@@ -108,10 +110,40 @@ def _brancher(trees: int, steps: int, threshold: float):
     return run
 
 
-def _close(sa, sb, na, nb, least: float):
+def _alike(sa, sb):
+    """Estimated similarity."""
     w = 4 * COORDINATES
     same = (sa[..., :w].view(np.uint32) == sb[..., :w].view(np.uint32)).sum(-1) + (sa[..., w:] == sb[..., w:]).sum(-1)
-    return (same >= least * (COORDINATES + EXTRA)) & (np.minimum(na, nb) >= (least + MARGIN) * np.maximum(na, nb))
+    return same / (COORDINATES + EXTRA)
+
+
+def _close(sa, sb, na, nb, least: float):
+    return (_alike(sa, sb) >= least) & (np.minimum(na, nb) >= (least + MARGIN) * np.maximum(na, nb))
+
+
+def _thinned(x: np.ndarray, y: np.ndarray, est: np.ndarray, size: int) -> np.ndarray:
+    """Places of the pairs to test: a spanning forest of the strong ones, and the others between its trees."""
+    root = list(range(size))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    order = np.argsort(-est, kind="stable")
+    strong, keep, left = int((est >= STRONG).sum()), [], len(set(x.tolist()) | set(y.tolist()))
+    for k in order[:strong].tolist():
+        i, j = find(int(x[k])), find(int(y[k]))
+        if i != j:
+            root[i] = j
+            keep.append(k)
+            left -= 1
+            if left == 1:
+                return np.array(keep, np.intp)
+    tree = np.array([find(i) for i in range(size)])
+    weak = order[strong:]
+    return np.concatenate((np.array(keep, np.intp), weak[tree[x[weak]] != tree[y[weak]]]))
 
 
 def _leaf_pairs(least: float):
@@ -126,12 +158,17 @@ def _leaf_pairs(least: float):
             i, j = i + a, j + a
             near = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= (least + MARGIN) * np.maximum(n[i], n[j]))
             i, j = i[near], j[near]
+            found = []
             for c in range(0, len(i), 8192):
                 x, y = i[c: c + 8192], j[c: c + 8192]
-                ok = _close(sig[x], sig[y], n[x], n[y], least)
-                if ok.any():
-                    x, y = rep[x[ok]], rep[y[ok]]
-                    yield np.minimum(x, y), np.maximum(x, y)
+                est = _alike(sig[x], sig[y])
+                ok = est >= least
+                found.append((x[ok] - a, y[ok] - a, est[ok]))
+            x, y, est = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (i, j, i)
+            if len(x):
+                keep = _thinned(x, y, est, b - a)
+                x, y = rep[x[keep] + a], rep[y[keep] + a]
+                yield np.minimum(x, y), np.maximum(x, y)
 
     def run(batches):
         held = None
@@ -237,9 +274,12 @@ def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, comps, do
     member = work.save(member.join(sizes, "node"), f"shared{depth}")
     if not member.head(1):
         return None
-    known = sigs if comps is None else sigs.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    known = known.withColumn("comp", F.col("rep")) if comps is None else known
-    small = member.filter(F.col("size") <= leaf).join(known, ["rep", "n"]).select("node", "rep", "comp", "n", "sig")
+    def labelled(d: DataFrame, rep: str, out: str) -> DataFrame:
+        if comps is None:
+            return d.withColumn(out, F.col(rep))
+        return d.join(comps.select(F.col("node").alias(rep), F.col("component").alias(out)), rep, "left").withColumn(out, F.coalesce(out, rep))
+
+    small = labelled(member.filter(F.col("size") <= leaf), "rep", "comp").join(sigs, ["rep", "n"]).select("node", "rep", "comp", "n", "sig")
     pairs = small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_pairs(least), "a long, b long").distinct()
     big = member.filter(F.col("size") > leaf).select("node", "rep", "n")
     has_big = bool(big.head(1))
@@ -250,8 +290,9 @@ def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, comps, do
         stars = big.join(pivots, "node").select("rep", "n", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p"))
         stars = stars.filter((F.col("rep") != F.col("p.rep")) & (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")))
         stars = stars.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        side = lambda x: known.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("comp").alias(f"c{x}"))
-        stars = stars.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb").select("a", "b", "na", "nb", "sa", "sb")
+        stars = labelled(labelled(stars, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+        side = lambda x: sigs.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+        stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
         pairs = pairs.union(stars.mapInArrow(_estimated(least), "a long, b long")).distinct()
     pairs = work.save(pairs, f"pairs{depth}")
     links = work.save(confirm(work, depth, pairs, docs, k, num, den), f"links{depth}")
