@@ -7,6 +7,7 @@ import public_tokenizers
 from .common import table
 from .decontaminate import contaminated
 from .jpeg import media_columns
+from .language import identify
 from .licenses import license_scan
 from .licenses import oracle as license_sql
 from .line_dedup import near_lines
@@ -37,6 +38,10 @@ def op5_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_media(spark, sf_dir):
     return media_columns(table(spark, sf_dir, "documents"))
 
