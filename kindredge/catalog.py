@@ -1,9 +1,334 @@
-"""Queries of the library's own operators, with the SQL that gives the same rows."""
+"""Queries of the library's own operators on records derived from the star schema, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import oracle
+from .config import Config
+from .functions import similarity as S
+from .functions import text as T
+from .operators import blocking, decide, evidence, features, lexicon, metrics, model, normalize, synth
+from .plans import linkage
+from .plans.store import save
+from .sources import records
+
+CFG = Config()
+
+
+def _records(spark, sf):
+    return records.derived(spark, sf)
+
+
+def _base(spark, sf):
+    s1, cand = _records(spark, sf)
+    one = normalize.base(s1.drop("num"))
+    two = normalize.base(cand.drop("origin_id", "is_decoy", "noise_op"))
+    return one, two
+
+
+def _final(spark, sf):
+    return tuple(save(normalize.finalize(d), "final") for d in _base(spark, sf))
+
+
+def _truth(spark, sf):
+    return _records(spark, sf)[1].filter("not is_decoy").select(F.col("origin_id").alias("s1_id"), F.col("entity_id").alias("c_id"))
+
+
+def _keys(spark, sf):
+    one, two = _final(spark, sf)
+    return blocking.keys(one, CFG.blocking, True), blocking.keys(two, CFG.blocking)
+
+
+def _votes(spark, sf):
+    return blocking.votes(*_keys(spark, sf), CFG.blocking.key_cap)
+
+
+def _pairs(spark, sf):
+    return save(blocking.top_candidates(_votes(spark, sf), CFG.blocking), "pairs")
+
+
+def _features(spark, sf, scores=False):
+    one, two = _final(spark, sf)
+    keys = blocking.keys(one, CFG.blocking, True), blocking.keys(two, CFG.blocking)
+    pairs = save(blocking.top_candidates(blocking.votes(*keys, CFG.blocking.key_cap), CFG.blocking), "pairs")
+    return features.pair_features(pairs, one, two, scores)
+
+
+def _scored(spark, sf):
+    d = linkage.rule_score(_features(spark, sf))
+    d = d.withColumn("sib", ((F.col("nm_exact") == 1) & (F.col("num_p_in") == 0)).cast("int"))
+    return save(linkage.labelled(d, _truth(spark, sf)).select("s1_id", "c_id", "country", "rank", "p", F.coalesce("sib", F.lit(0)).alias("sib"), "y"), "scored")
+
+
+def _decided(spark, sf):
+    return save(decide.decide(_scored(spark, sf), "p", 0.0, 0.5), "decided")
+
+
+def _entities(spark, sf):
+    return metrics.per_entity(_decided(spark, sf).filter("selected"), _truth(spark, sf), _records(spark, sf)[0].select(F.col("entity_id").alias("s1_id")))
+
+
+def _missed(spark, sf):
+    return _truth(spark, sf).join(_pairs(spark, sf), ["s1_id", "c_id"], "left_anti").agg(F.count("*").alias("n"))
+
+
+def _learned(spark, sf):
+    """Base tables, and true pairs of training entities only."""
+    one, two = _base(spark, sf)
+    train = _truth(spark, sf).filter(model.role(F.col("s1_id"), CFG.split) == "TRAIN")
+    return one, two, train
+
+
+def er_source1(spark, sf):
+    return _records(spark, sf)[0].drop("num")
+
+
+def er_candidates(spark, sf):
+    return _records(spark, sf)[1]
+
+
+def er_norm(spark, sf):
+    one, two = _base(spark, sf)
+    return one.union(two).select("entity_id", "country", F.array_join("name_tokens", " ").alias("name"), F.array_join("addr_comps", "|").alias("comps"), "f_alias", "f_url", "f_junk", "f_empty_addr")
+
+
+def er_house_numbers(spark, sf):
+    one, two = _base(spark, sf)
+    return one.union(two).select("entity_id", F.array_join(F.transform("nums", lambda x: x.cast("string")), ",").alias("nums"), "n_nums")
+
+
+def er_final(spark, sf):
+    one, two = _final(spark, sf)
+    return one.union(two).select("entity_id", "name_full", "name_core", "name_nospace", "n_name_tok", "addr_norm", "addr_alpha", "f_pseudo")
+
+
+def er_digit_deletions(spark, sf):
+    one, _ = _base(spark, sf)
+    return one.select("entity_id", F.array_join(F.transform(T.digit_deletions(F.get("nums", F.lit(0))), lambda x: x.cast("string")), ",").alias("gone")).filter("gone <> ''")
+
+
+def er_fold_documents(spark, sf):
+    """Accents off on real prose: letters kept, marks gone."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded"))
+
+
+def er_url_hosts(spark, sf):
+    d = spark.read.parquet(f"{sf}/pages.parquet")
+    host = F.regexp_extract(F.lower("url"), "^https?://([^/?#:]+)", 1)
+    return d.select("page_id", host.alias("host"), host.rlike(T.URL).alias("f_url"))
+
+
+def er_url_segments(spark, sf):
+    """Closed-up names cut into vocabulary words (no SQL form: dynamic programming)."""
+    one, two = _base(spark, sf)
+    lex = lexicon.Lexicon(vocab=sorted(r.token for r in lexicon.vocabulary(one).collect()))
+    return normalize.finalize(two.filter("f_url"), lex).select("entity_id", F.array_join("name_tokens", " ").alias("words"), "name_nospace")
+
+
+def er_vocabulary(spark, sf):
+    return lexicon.vocabulary(*_base(spark, sf))
+
+
+def er_component_pairs(spark, sf):
+    one, two, train = _learned(spark, sf)
+    return lexicon.component_pairs(one, two, train)
+
+
+def er_localities(spark, sf):
+    return lexicon.localities(_base(spark, sf)[0]).select("comp", "n", F.round("share", 9).alias("share"))
+
+
+def er_pseudo_pairs(spark, sf):
+    return lexicon.pseudo_pairs(*_base(spark, sf))
+
+
+def er_block_keys(spark, sf):
+    one, two = _keys(spark, sf)
+    return one.union(two)
+
+
+def er_postings(spark, sf):
+    return blocking.postings(_keys(spark, sf)[0], CFG.blocking.key_cap)
+
+
+def er_votes(spark, sf):
+    return _votes(spark, sf)
+
+
+def er_top_candidates(spark, sf):
+    return _pairs(spark, sf).select("c_id", "s1_id", "country", "votes", "rank", F.round("rel", 9).alias("rel"))
+
+
+def er_recall_curve(spark, sf):
+    return blocking.recall_curve(_pairs(spark, sf), _truth(spark, sf)).withColumn("recall", F.round("recall", 9))
+
+
+def er_reduction(spark, sf):
+    return blocking.reduction(_pairs(spark, sf), *_records(spark, sf)).withColumn("reduction", F.round("reduction", 9))
+
+
+def er_number_features(spark, sf):
+    return _features(spark, sf).select("s1_id", "c_id", "num_p_in", "num_p_first", F.round("num_frac1", 9).alias("num_frac1"), F.round("num_frac2", 9).alias("num_frac2"), "num_logdiff", "num_drop", "num_del_any", "num_long", "n_nums1", "n_nums2")
+
+
+def er_rarity(spark, sf):
+    return _features(spark, sf).select("s1_id", "c_id", *[f"{x}_idf_{y}" for x in ("nm", "ad") for y in ("cov1", "cov2", "rare")])
+
+
+def er_flag_features(spark, sf):
+    return _features(spark, sf).select("s1_id", "c_id", "c_f_alias", "c_f_url", "c_f_junk", "c_f_empty_addr", "c_f_pseudo", "tok_diff", "n_tok1", "c_s3", "nm_exact", "s1_name_n", "c_name_n")
+
+
+def er_jaro_winkler(spark, sf):
+    one, two = _final(spark, sf)
+    j = _pairs(spark, sf).join(one.select(F.col("entity_id").alias("s1_id"), F.col("name_core").alias("a")), "s1_id").join(two.select(F.col("entity_id").alias("c_id"), F.col("name_core").alias("b")), "c_id")
+    return j.select("s1_id", "c_id", F.round(S.jaro_winkler_of("a", "b"), 6).alias("nm_jw"))
+
+
+def er_string_scores(spark, sf):
+    """The Indel-based scorers (tested against a table-filling version)."""
+    return _features(spark, sf, True).select("s1_id", "c_id", *[F.round(c, 6).alias(c) for c in ("nm_tset", "nm_tsort", "nm_ratio_ns", "nm_partial_ns", "ad_tset", "ad_tsort")])
+
+
+def er_competition(spark, sf):
+    return features.competition(_scored(spark, sf)).drop("country", "rank", "y")
+
+
+def er_coherence(spark, sf):
+    d = features.coherence(_scored(spark, sf), _final(spark, sf)[1], "p", scores=False)
+    return d.select("s1_id", "c_id", "coh_p", "anchor_id", "coh_num")
+
+
+def er_owner(spark, sf):
+    return decide.owner(_scored(spark, sf)).select("s1_id", "c_id", "p")
+
+
+def er_select(spark, sf):
+    return decide.select(decide.owner(_scored(spark, sf))).filter("selected").select("s1_id", "c_id", "p")
+
+
+def er_decide(spark, sf):
+    return _decided(spark, sf).filter("selected").select("s1_id", "c_id", "p")
+
+
+def er_threshold(spark, sf):
+    return decide.threshold(_scored(spark, sf), 0.7).filter("selected").select("s1_id", "c_id", "p")
+
+
+def er_per_entity(spark, sf):
+    return _entities(spark, sf)
+
+
+def er_slices(spark, sf):
+    d = _entities(spark, sf).join(_records(spark, sf)[0].select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").withColumn("singleton", F.col("n_gt") == 0)
+    return metrics.slices(d, ["country", "singleton"])
+
+
+def er_end_to_end(spark, sf):
+    return metrics.summary(_entities(spark, sf))
+
+
+def er_oracle_ceiling(spark, sf):
+    found = _pairs(spark, sf).join(_truth(spark, sf), ["s1_id", "c_id"], "left_semi")
+    return metrics.summary(metrics.per_entity(found, _truth(spark, sf), _records(spark, sf)[0].select(F.col("entity_id").alias("s1_id"))))
+
+
+def er_pair_report(spark, sf):
+    return metrics.pair_report(_decided(spark, sf), _missed(spark, sf))
+
+
+def er_threshold_table(spark, sf):
+    return metrics.threshold_table(_scored(spark, sf), _truth(spark, sf).agg(F.count("*").alias("n")))
+
+
+def er_auc(spark, sf):
+    d = _scored(spark, sf)
+    return metrics.auc(d).crossJoin(metrics.average_precision(d)).crossJoin(metrics.best_f1(d))
+
+
+def er_grid_floor(spark, sf):
+    return linkage.grid_floor(_scored(spark, sf), _truth(spark, sf), _records(spark, sf)[0])
+
+
+def er_label_metrics(spark, sf):
+    """Ranking quality on the real labels: does length tell quality?"""
+    d = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
+    d = d.select(F.col("n_chars").cast("double").alias("p"), F.col("quality").alias("y"))
+    return metrics.auc(d).crossJoin(metrics.average_precision(d))
+
+
+def er_roles(spark, sf):
+    d = _records(spark, sf)[0]
+    return d.select("entity_id", model.role(F.col("entity_id"), CFG.split).alias("role"), model.fold(F.col("entity_id"), 2).alias("fold"))
+
+
+def er_hash_sample(spark, sf):
+    """A sampling operator: the limit is the feature."""
+    return model.hash_sample(_records(spark, sf)[0].select("entity_id"), "entity_id", 100, "s")
+
+
+def er_match_lists(spark, sf):
+    return records.match_lists(_records(spark, sf)[0], _decided(spark, sf).filter("selected"))
+
+
+def er_truth_lists(spark, sf):
+    """Comma-joined lists back to pairs."""
+    return records.truth_pairs(records.match_lists(_records(spark, sf)[0], _truth(spark, sf)))
+
+
+def er_orphans(spark, sf):
+    return _records(spark, sf)[0].select(F.col("entity_id").alias("s1_id")).join(_pairs(spark, sf), "s1_id", "left_anti")
+
+
+def er_evidence(spark, sf):
+    s1, cand = _records(spark, sf)
+    d = evidence.evidence(_decided(spark, sf).drop("y"), s1, cand, _truth(spark, sf))
+    return d.select("s1_id", "s1_name", "c_id", "c_name", "p", "rival_id", "label", evidence.verdict(d).alias("verdict"))
+
+
+def er_search(spark, sf):
+    """Twenty hits at most: the limit is the feature."""
+    s1, cand = _records(spark, sf)
+    return evidence.search(evidence.evidence(_decided(spark, sf).drop("y"), s1, cand, _truth(spark, sf)), "RED")
+
+
+def er_density(spark, sf):
+    s1, cand = _records(spark, sf)
+    return synth.density(cand, s1)
+
+
+def er_thinned(spark, sf):
+    """Decoys kept so that density would rise by a fifth of a record an entity."""
+    s1, cand = _records(spark, sf)
+    decoys, train = cand.filter("is_decoy"), synth.density(cand.filter("not is_decoy"), s1)
+    return synth.thin(decoys, train, train.withColumn("per_entity", F.col("per_entity") + 0.2), s1).select("entity_id", "country")
+
+
+def er_pseudo_labels(spark, sf):
+    return synth.pseudo_labels(_decided(spark, sf).drop("y"), 0.75, 0.55).select("s1_id", "c_id", "y")
+
+
+def er_blend(spark, sf):
+    d = _scored(spark, sf).withColumn("q", F.col("p") * F.col("p"))
+    return model.blend(d.withColumnRenamed("p", "base"), ["ASIA", "EUROPE"], "base", "q", 0.7).select("s1_id", "c_id", F.round("p", 9).alias("p"))
+
+
+def er_noise_rates(spark, sf):
+    s1, cand = _records(spark, sf)
+    one = s1.select(F.col("entity_id").alias("origin_id"), F.col("business_name").alias("name1"), F.col("business_address").alias("addr1"))
+    return synth.rates(cand.filter("not is_decoy").join(one, "origin_id").select("name1", "addr1", F.col("business_name").alias("name2"), F.col("business_address").alias("addr2")))
+
+
+def er_synthetic(spark, sf):
+    """Seeded noisy records (a generator: no SQL form)."""
+    return synth.generate(_records(spark, sf)[0], {"reorder": 0.2, "typo": 0.3, "upper_name": 0.1, "url": 0.1, "alias": 0.1, "empty_addr": 0.1, "num_inject": 0.1, "addr_typo": 0.2})
 
 
 def queries():
-    return {}
+    return {n: f for n, f in globals().items() if n.startswith("er_")}
 
 
 def oracle_sql():
-    return {}
+    return oracle.statements()
