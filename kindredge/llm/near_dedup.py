@@ -23,13 +23,13 @@ from .components import components
 COORDINATES = 64
 #: Further coordinates of 8 bits, for the estimate alone.
 EXTRA = 192
-TREES = 16
+TREES = 12
 LEAF = 1024
 PIVOTS = 2
 #: Estimates from which a pair in a leaf needs no test where others already connect its ends.
-STRONG = 0.92
-#: Candidates are taken this far below the threshold: over three standard errors of the estimate.
-MARGIN = 0.07
+STRONG = 0.90
+#: Candidates are taken this far below the threshold: over two standard errors of the estimate.
+MARGIN = 0.05
 MAX_ROUNDS = 40
 #: Levels that the second round and those after it go down at once.
 STEPS = (2, 4)
