@@ -193,7 +193,7 @@ def er_string_scores(spark, sf):
 
 
 def er_competition(spark, sf):
-    return features.competition(_scored(spark, sf)).drop("country", "rank", "y")
+    return features.competition(_scored(spark, sf)).drop("country", "rank", "y").withColumn("e_rel", F.round("e_rel", 6))
 
 
 def er_coherence(spark, sf):

@@ -154,7 +154,7 @@ def _endings() -> dict[str, str]:
         "er_flag_features": "SELECT s1_id, c_id, c_f_alias, c_f_url, c_f_junk, c_f_empty_addr, c_f_pseudo, CAST(tok_diff AS INT) AS tok_diff, CAST(n_tok1 AS INT) AS n_tok1, c_s3, nm_exact, s1_name_n, c_name_n FROM feats",
         "er_jaro_winkler": "SELECT s1_id, c_id, round(jaro_winkler_similarity(a_core, b_core), 6) AS nm_jw FROM feats",
         "er_competition": f"""SELECT s1_id, c_id, p, sib, rank() OVER (PARTITION BY s1_id ORDER BY p DESC) AS e_rank, count(*) OVER e AS e_n, round(sum(p) OVER e, 9) AS e_sum, sum(sib) OVER e AS e_sib, max(p) OVER e AS e_max, round({margin('e')}, 9) AS e_margin,
-  rank() OVER (PARTITION BY c_id ORDER BY p DESC) AS c_rank, count(*) OVER c AS c_n, max(p) OVER c AS c_max, round({margin('c')}, 9) AS c_margin, round(p / greatest(max(p) OVER e, 1e-6), 9) AS e_rel FROM scored WINDOW e AS (PARTITION BY s1_id), c AS (PARTITION BY c_id)""",
+  rank() OVER (PARTITION BY c_id ORDER BY p DESC) AS c_rank, count(*) OVER c AS c_n, max(p) OVER c AS c_max, round({margin('c')}, 9) AS c_margin, round(round(p / greatest(max(p) OVER e, 1e-6), 9), 6) AS e_rel FROM scored WINDOW e AS (PARTITION BY s1_id), c AS (PARTITION BY c_id)""",
         "er_coherence": """SELECT a.s1_id, a.c_id, b.p AS coh_p, b.c_id AS anchor_id, CASE WHEN len(x.nums[1:3]) > 0 AND len(z.nums[1:3]) > 0 THEN CAST(list_has_any(x.nums[1:3], z.nums[1:3]) AS DOUBLE) END AS coh_num
   FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, c_id) AS k FROM scored) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, c_id) AS k FROM scored) b ON a.s1_id = b.s1_id AND b.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END
   JOIN fin x ON x.entity_id = a.c_id LEFT JOIN fin z ON z.entity_id = b.c_id""",
