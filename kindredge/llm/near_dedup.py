@@ -5,9 +5,11 @@ representative a minwise signature is kept. In ``trees`` independent trees (each
 sizes, classes overlapping so that no pair within the threshold is parted), a node picks a few signature coordinates at
 random (each with probability 1 / (threshold * coordinates): less similar sets meet ever more rarely) and sends a representative
 to the child named by the coordinate and its minwise value. Nodes of up to ``leaf`` members are compared exhaustively (by
-signature estimate; of pairs far above the threshold a spanning forest is tested, as it connects them all); larger nodes are first compared with a few random pivots, and branch again as long as they hold members that are not yet connected. Every candidate is confirmed on the full sets. No step
-gathers a group larger than ``leaf`` in one task: large nodes are only counted, joined with their pivots and branched,
-row by row.
+signature estimate; a spanning forest of the candidates is tested first; where its edges fail, the candidates between the
+parts that are still unconnected follow, until all are tested or connected); larger nodes are first compared with a few
+random pivots, and branch again as long as they hold members that are not yet connected. Every candidate is confirmed on
+the full sets. No step gathers a group larger than ``leaf`` in one task: large nodes are only counted, joined with their
+pivots and branched, row by row.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ EXTRA = 192
 TREES = 12
 LEAF = 1024
 PIVOTS = 2
-#: Estimates from which a pair in a leaf needs no test where others already connect its ends.
-STRONG = 0.90
+#: Each turn after a leaf's forest tests this many times as many candidates of any two unconnected parts as the turn before.
+GROWTH = 8
 #: Candidates are taken this far below the threshold: over two standard errors of the estimate.
 MARGIN = 0.05
 MAX_ROUNDS = 40
@@ -121,8 +123,8 @@ def _close(sa, sb, na, nb, least: float):
     return (_alike(sa, sb) >= least) & (np.minimum(na, nb) >= (least + MARGIN) * np.maximum(na, nb))
 
 
-def _thinned(x: np.ndarray, y: np.ndarray, est: np.ndarray, size: int) -> np.ndarray:
-    """Places of the pairs to test: a spanning forest of the strong ones, and the others between its trees."""
+def _forest(x: np.ndarray, y: np.ndarray, est: np.ndarray, size: int) -> np.ndarray:
+    """Places of the pairs of a spanning forest, of the highest estimates."""
     root = list(range(size))
 
     def find(i):
@@ -131,25 +133,34 @@ def _thinned(x: np.ndarray, y: np.ndarray, est: np.ndarray, size: int) -> np.nda
             i = root[i]
         return i
 
-    order = np.argsort(-est, kind="stable")
-    strong, keep, left = int((est >= STRONG).sum()), [], len(set(x.tolist()) | set(y.tolist()))
-    for k in order[:strong].tolist():
+    keep, left = [], len(set(x.tolist()) | set(y.tolist()))
+    for k in np.argsort(-est, kind="stable").tolist():
         i, j = find(int(x[k])), find(int(y[k]))
         if i != j:
             root[i] = j
             keep.append(k)
             left -= 1
             if left == 1:
-                return np.array(keep, np.intp)
-    tree = np.array([find(i) for i in range(size)])
-    weak = order[strong:]
-    return np.concatenate((np.array(keep, np.intp), weak[tree[x[weak]] != tree[y[weak]]]))
+                break
+    return np.array(keep, np.intp)
+
+
+def _strongest(ca: np.ndarray, cb: np.ndarray, est: np.ndarray, quota: int) -> np.ndarray:
+    """Places of the ``quota`` pairs of the highest estimates between any two components."""
+    low, high = np.minimum(ca, cb), np.maximum(ca, cb)
+    order = np.lexsort((-est, high, low))
+    low, high = low[order], high[order]
+    first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[place < quota]
 
 
-def _leaf_pairs(least: float):
-    """Rows (node, rep, comp, n, sig) sorted by node -> candidate pairs within each node."""
+def _leaf_pairs(least: float, turn: int):
+    """Rows (node, rep, comp, n, sig, failed) sorted by node -> candidate pairs within each node, to be tested at ``turn``.
 
-    def pairs(node, rep, comp, n, sig):
+    ``failed`` lists members with which a test has failed."""
+
+    def pairs(node, rep, comp, n, sig, failed):
         cuts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a < 2:
@@ -157,6 +168,16 @@ def _leaf_pairs(least: float):
             i, j = np.triu_indices(b - a, 1)
             i, j = i + a, j + a
             near = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= (least + MARGIN) * np.maximum(n[i], n[j]))
+            some = [x for x in range(a, b) if failed[x] is not None]
+            if some:
+                order = np.argsort(rep[a:b])
+                tested = np.zeros((b - a, b - a), bool)
+                for x in some:
+                    at = np.searchsorted(rep[a:b], failed[x], sorter=order)
+                    at = order[np.minimum(at, b - a - 1)]
+                    at = at[np.isin(rep[a:b][at], failed[x])]
+                    tested[x - a, at] = tested[at, x - a] = True
+                near &= ~tested[i - a, j - a]
             i, j = i[near], j[near]
             found = []
             for c in range(0, len(i), 8192):
@@ -166,7 +187,7 @@ def _leaf_pairs(least: float):
                 found.append((x[ok] - a, y[ok] - a, est[ok]))
             x, y, est = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (i, j, i)
             if len(x):
-                keep = _thinned(x, y, est, b - a)
+                keep = _strongest(comp[x + a], comp[y + a], est, GROWTH ** (turn - 1)) if turn else _forest(x, y, est, b - a)
                 x, y = rep[x[keep] + a], rep[y[keep] + a]
                 yield np.minimum(x, y), np.maximum(x, y)
 
@@ -176,6 +197,7 @@ def _leaf_pairs(least: float):
             if not batch.num_rows:
                 continue
             cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(4)] + [_signatures(batch.column(4))]
+            cols.append(batch.column(5).to_numpy(zero_copy_only=False))
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             last = int(np.argmax(cols[0] == cols[0][-1]))
@@ -235,15 +257,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
     sigs = work.save(reps.join(own, ["rep", "n", "k1", "k2"]).select("rep", "n", "sig").dropDuplicates(["rep", "n", "sig"]), "sigs")
 
     member = sigs.select(F.lit(0).cast("long").alias("node"), "rep", "n", "sig").mapInArrow(_brancher(trees, 1, num / den), "node long, rep long, n long")
-    comps, links = None, None
+    seen = Seen()
     for depth in range(MAX_ROUNDS):
-        found = _level(work, depth, member, sigs, comps, docs, k, num, den, leaf)
-        if found is None:
-            break
-        new_links, big = found
-        links = new_links if links is None else links.union(new_links)
-        if new_links.head(1):
-            comps = work.save(components(links, work, f"cc{depth}"), f"comps{depth}")
+        big = _level(work, depth, member, sigs, seen, docs, k, num, den, leaf)
+        comps = seen.comps
         if big is None:
             break
         if comps is not None:
@@ -257,8 +274,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
         raise RuntimeError("nodes still branch after the last round")
 
     classes = reps
-    if comps is not None:
-        classes = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
+    if seen.comps is not None:
+        classes = reps.join(seen.comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
     classes = work.save(classes, "classes")
     out = base.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
@@ -266,45 +283,82 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, comps, docs: DataFrame, k: int, num: int, den: int, leaf: int):
-    """Compare the nodes of one depth; (links, members of large nodes or None), or None if no node has two members."""
+class Seen:
+    """What is known so far: links, the components that they make, and pairs of leaves that failed (None: none)."""
+
+    links: DataFrame | None = None
+    comps: DataFrame | None = None
+    failed: DataFrame | None = None
+
+    def add(self, work: Work, name: str, links: DataFrame) -> None:
+        if links.head(1):
+            self.links = links if self.links is None else self.links.union(links)
+            self.comps = work.save(components(self.links, work, f"cc{name}"), f"comps{name}")
+
+    def label(self, d: DataFrame, rep: str, out: str) -> DataFrame:
+        if self.comps is None:
+            return d.withColumn(out, F.col(rep))
+        return d.join(self.comps.select(F.col("node").alias(rep), F.col("component").alias(out)), rep, "left").withColumn(out, F.coalesce(out, rep))
+
+
+def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, seen: Seen, docs: DataFrame, k: int, num: int, den: int, leaf: int):
+    """Compare the nodes of one depth and add to ``seen``; the members of large nodes, or None if there are none."""
     least = num / den - MARGIN
     member = work.save(member if depth == 0 else member.distinct(), f"member{depth}")
     sizes = work.save(member.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{depth}")
     member = work.save(member.join(sizes, "node"), f"shared{depth}")
     if not member.head(1):
         return None
-    def labelled(d: DataFrame, rep: str, out: str) -> DataFrame:
-        if comps is None:
-            return d.withColumn(out, F.col(rep))
-        return d.join(comps.select(F.col("node").alias(rep), F.col("component").alias(out)), rep, "left").withColumn(out, F.coalesce(out, rep))
-
-    small = labelled(member.filter(F.col("size") <= leaf), "rep", "comp").join(sigs, ["rep", "n"]).select("node", "rep", "comp", "n", "sig")
-    pairs = small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_pairs(least), "a long, b long").distinct()
+    small = member.filter(F.col("size") <= leaf).select("node", "rep", "n")
     big = member.filter(F.col("size") > leaf).select("node", "rep", "n")
     has_big = bool(big.head(1))
-    if has_big:
-        # the hash does not depend on the node: nodes of one group of similar sets elect the same few pivots
-        pick = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * depth + j), "rep"), "rep", "n")).alias(f"p{j}") for j in range(PIVOTS)]
-        pivots = work.save(big.groupBy("node").agg(*pick), f"pivots{depth}")
-        stars = big.join(pivots, "node").select("rep", "n", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p"))
-        stars = stars.filter((F.col("rep") != F.col("p.rep")) & (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")))
-        stars = stars.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        stars = labelled(labelled(stars, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-        side = lambda x: sigs.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-        stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        pairs = pairs.union(stars.mapInArrow(_estimated(least), "a long, b long")).distinct()
-    pairs = work.save(pairs, f"pairs{depth}")
-    links = work.save(confirm(work, depth, pairs, docs, k, num, den), f"links{depth}")
+    turn = 0
+    while True:
+        name = f"{depth}-{turn}"
+        rows = seen.label(small, "rep", "comp").join(sigs, ["rep", "n"])
+        if seen.failed is None:
+            rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
+        else:
+            rows = rows.join(seen.failed.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("failed")), "rep", "left")
+        rows = rows.select("node", "rep", "comp", "n", "sig", "failed").repartition("node").sortWithinPartitions("node")
+        pairs = tried = work.save(rows.mapInArrow(_leaf_pairs(least, turn), "a long, b long").distinct(), f"tried{name}")
+        if has_big and not turn:
+            pairs = work.save(tried.union(_stars(work, depth, big, sigs, seen, num, den, least)).distinct(), f"pairs{name}")
+        if not pairs.head(1):
+            break
+        links = work.save(confirm(work, name, pairs, docs, k, num, den), f"links{name}")
+        work.drop(f"needed{name}", f"sets{name}")
+        seen.add(work, name, links)
+        failed = work.save(tried.join(links, ["a", "b"], "left_anti"), f"failed{name}")
+        if not failed.head(1):
+            break
+        seen.failed = failed if seen.failed is None else seen.failed.union(failed)
+        again = small.join(failed.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("node").distinct()
+        small = work.save(small.join(again, "node", "left_semi"), f"again{name}")
+        turn += 1
     work.drop(f"member{depth}", f"sizes{depth}")
-    return links, (big if has_big else None)
+    return big if has_big else None
+
+
+def _stars(work: Work, depth: int, big: DataFrame, sigs: DataFrame, seen: Seen, num: int, den: int, least: float) -> DataFrame:
+    """Candidate pairs of the members of large nodes with their pivots."""
+    # the hash does not depend on the node: nodes of one group of similar sets elect the same few pivots
+    pick = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * depth + j), "rep"), "rep", "n")).alias(f"p{j}") for j in range(PIVOTS)]
+    pivots = work.save(big.groupBy("node").agg(*pick), f"pivots{depth}")
+    stars = big.join(pivots, "node").select("rep", "n", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p"))
+    stars = stars.filter((F.col("rep") != F.col("p.rep")) & (den * F.least("n", "p.n") >= num * F.greatest("n", "p.n")))
+    stars = stars.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    stars = seen.label(seen.label(stars, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+    side = lambda x: sigs.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return stars.mapInArrow(_estimated(least), "a long, b long")
 
 
-def confirm(work: Work, depth: int, pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def confirm(work: Work, name: str, pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets pass. Sets are recomputed from the texts of the documents that take part."""
-    needed = work.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"needed{depth}")
+    needed = work.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"needed{name}")
     rows = needed.count()
-    sets = work.save(docs.join(maybe_broadcast(needed, rows), "doc_id", "left_semi").mapInArrow(_set_maker(k), "rep long, s array<long>"), f"sets{depth}")
+    sets = work.save(docs.join(maybe_broadcast(needed, rows), "doc_id", "left_semi").mapInArrow(_set_maker(k), "rep long, s array<long>"), f"sets{name}")
     left = pairs.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     both = left.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))

@@ -62,3 +62,17 @@ def test_edges(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_failed_forest_edges_are_replaced(spark):
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(4000)]
+    base, rows = r.choices(words, k=100), []
+    for n in range(300):  # edited copies in one leaf: strong estimates, of which some fail
+        text = list(base)
+        for at in r.sample(range(100), r.choice([1, 2, 3])):
+            text[at] = r.choice(words)
+        rows.append((n, " ".join(text)))
+    got = near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()
+    want = brute(rows)
+    assert sum(x[3] for x in want) == 197 and {tuple(x) for x in got} == want
