@@ -30,8 +30,8 @@ LEAF = 1024
 PIVOTS = 2
 #: Each turn after a leaf's forest tests this many times as many candidates of any two unconnected parts as the turn before.
 GROWTH = 8
-#: Candidates are taken this far below the threshold: over two standard errors of the estimate.
-MARGIN = 0.05
+#: Candidates are taken this far below the threshold: four standard errors of the estimate at 0.85 (0.0223 each).
+MARGIN = 0.09
 MAX_ROUNDS = 40
 #: Levels that the second round and those after it go down at once.
 STEPS = (2, 4)
@@ -119,8 +119,9 @@ def _alike(sa, sb):
     return same / (COORDINATES + EXTRA)
 
 
-def _close(sa, sb, na, nb, least: float):
-    return (_alike(sa, sb) >= least) & (np.minimum(na, nb) >= (least + MARGIN) * np.maximum(na, nb))
+def _sized(na, nb, num: int, den: int):
+    """Whether the set sizes allow the threshold, in whole numbers."""
+    return den * np.minimum(na, nb) >= num * np.maximum(na, nb)
 
 
 def _forest(x: np.ndarray, y: np.ndarray, est: np.ndarray, size: int) -> np.ndarray:
@@ -155,10 +156,11 @@ def _strongest(ca: np.ndarray, cb: np.ndarray, est: np.ndarray, quota: int) -> n
     return order[place < quota]
 
 
-def _leaf_pairs(least: float, turn: int):
+def _leaf_pairs(num: int, den: int, turn: int):
     """Rows (node, rep, comp, n, sig, failed) sorted by node -> candidate pairs within each node, to be tested at ``turn``.
 
     ``failed`` lists members with which a test has failed."""
+    least = num / den - MARGIN
 
     def pairs(node, rep, comp, n, sig, failed):
         cuts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
@@ -167,7 +169,7 @@ def _leaf_pairs(least: float, turn: int):
                 continue
             i, j = np.triu_indices(b - a, 1)
             i, j = i + a, j + a
-            near = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= (least + MARGIN) * np.maximum(n[i], n[j]))
+            near = (comp[i] != comp[j]) & _sized(n[i], n[j], num, den)
             some = [x for x in range(a, b) if failed[x] is not None]
             if some:
                 order = np.argsort(rep[a:b])
@@ -213,14 +215,15 @@ def _leaf_pairs(least: float, turn: int):
     return run
 
 
-def _estimated(least: float):
-    """Rows (a, b, na, nb, sa, sb) -> (a, b) whose estimate reaches ``least``."""
+def _estimated(num: int, den: int):
+    """Rows (a, b, na, nb, sa, sb) -> (a, b) whose estimate is at most ``MARGIN`` below the threshold."""
+    least = num / den - MARGIN
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(x).to_numpy(zero_copy_only=False) for x in (2, 3))
-                ok = pa.array(_close(_signatures(batch.column(4)), _signatures(batch.column(5)), na, nb, least))
+                ok = pa.array((_alike(_signatures(batch.column(4)), _signatures(batch.column(5))) >= least) & _sized(na, nb, num, den))
                 yield pa.RecordBatch.from_arrays([batch.column(x).filter(ok) for x in (0, 1)], names=["a", "b"])
 
     return run
@@ -303,7 +306,6 @@ class Seen:
 
 def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, seen: Seen, docs: DataFrame, k: int, num: int, den: int, leaf: int):
     """Compare the nodes of one depth and add to ``seen``; the members of large nodes, or None if there are none."""
-    least = num / den - MARGIN
     member = work.save(member if depth == 0 else member.distinct(), f"member{depth}")
     sizes = work.save(member.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{depth}")
     member = work.save(member.join(sizes, "node"), f"shared{depth}")
@@ -321,9 +323,9 @@ def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, seen: See
         else:
             rows = rows.join(seen.failed.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("failed")), "rep", "left")
         rows = rows.select("node", "rep", "comp", "n", "sig", "failed").repartition("node").sortWithinPartitions("node")
-        pairs = tried = work.save(rows.mapInArrow(_leaf_pairs(least, turn), "a long, b long").distinct(), f"tried{name}")
+        pairs = tried = work.save(rows.mapInArrow(_leaf_pairs(num, den, turn), "a long, b long").distinct(), f"tried{name}")
         if has_big and not turn:
-            pairs = work.save(tried.union(_stars(work, depth, big, sigs, seen, num, den, least)).distinct(), f"pairs{name}")
+            pairs = work.save(tried.union(_stars(work, depth, big, sigs, seen, num, den)).distinct(), f"pairs{name}")
         if not pairs.head(1):
             break
         links = work.save(confirm(work, name, pairs, docs, k, num, den), f"links{name}")
@@ -340,7 +342,7 @@ def _level(work: Work, depth: int, member: DataFrame, sigs: DataFrame, seen: See
     return big if has_big else None
 
 
-def _stars(work: Work, depth: int, big: DataFrame, sigs: DataFrame, seen: Seen, num: int, den: int, least: float) -> DataFrame:
+def _stars(work: Work, depth: int, big: DataFrame, sigs: DataFrame, seen: Seen, num: int, den: int) -> DataFrame:
     """Candidate pairs of the members of large nodes with their pivots."""
     # the hash does not depend on the node: nodes of one group of similar sets elect the same few pivots
     pick = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * depth + j), "rep"), "rep", "n")).alias(f"p{j}") for j in range(PIVOTS)]
@@ -351,7 +353,7 @@ def _stars(work: Work, depth: int, big: DataFrame, sigs: DataFrame, seen: Seen,
     stars = seen.label(seen.label(stars, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
     side = lambda x: sigs.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    return stars.mapInArrow(_estimated(least), "a long, b long")
+    return stars.mapInArrow(_estimated(num, den), "a long, b long")
 
 
 def confirm(work: Work, name: str, pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
 from itertools import combinations
+from math import comb
 
+from kindredge.llm import near_dedup
 from kindredge.llm.near_dedup import near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,3 +78,9 @@ def test_failed_forest_edges_are_replaced(spark):
     got = near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()
     want = brute(rows)
     assert sum(x[3] for x in want) == 197 and {tuple(x) for x in got} == want
+
+
+def test_margin_keeps_links_at_the_threshold():
+    m = near_dedup.COORDINATES + near_dedup.EXTRA
+    lost = sum(comb(m, x) * 0.85 ** x * 0.15 ** (m - x) for x in range(m) if x / m < 0.85 - near_dedup.MARGIN)
+    assert lost < 2e-4
