@@ -84,3 +84,19 @@ def test_margin_keeps_links_at_the_threshold():
     m = near_dedup.COORDINATES + near_dedup.EXTRA
     lost = sum(comb(m, x) * 0.85 ** x * 0.15 ** (m - x) for x in range(m) if x / m < 0.85 - near_dedup.MARGIN)
     assert lost < 2e-4
+
+
+def test_recall_of_the_trees():
+    coordinates, q = near_dedup.COORDINATES, 1 / (0.85 * near_dedup.COORDINATES)
+
+    def met(depth):
+        total = 0
+        for m in range(coordinates + 1):
+            below = 1.0
+            for _ in range(depth - 1):
+                below = 1 - (1 - q * below) ** m
+            one = 1 - (1 - q * (1 - (1 - below) ** near_dedup.COPIES)) ** m
+            total += comb(coordinates, m) * 0.85 ** m * 0.15 ** (coordinates - m) * (1 - (1 - one) ** near_dedup.TREES)
+        return total
+
+    assert met(7) > 0.999 and met(15) > 0.99
