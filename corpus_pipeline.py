@@ -30,7 +30,7 @@ def quality(spark, docs, sf_dir):
 def lines(spark, docs, sf_dir):
     """Of each class of near-equal lines the first stays; n_chars follows the text. Documents stay, even when empty."""
     Work.release()
-    return drop_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return drop_lines(docs.select(*COLUMNS), short=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near(spark, docs, sf_dir):

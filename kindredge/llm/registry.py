@@ -27,7 +27,7 @@ def op2_warc(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return near_lines(table(spark, sf_dir, "documents"))
+    return near_lines(table(spark, sf_dir, "documents"), short=True)
 
 
 def op4_decontamination(spark, sf_dir):
