@@ -3,6 +3,8 @@ import re
 from itertools import combinations
 from math import comb
 
+import numpy as np
+
 from kindredge.llm import near_dedup
 from kindredge.llm.near_dedup import near_duplicates
 
@@ -66,23 +68,73 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_failed_forest_edges_are_replaced(spark):
-    r = random.Random(1)
-    words = [f"w{i}" for i in range(4000)]
-    base, rows = r.choices(words, k=100), []
-    for n in range(300):  # edited copies in one leaf: strong estimates, of which some fail
+def edited_copies(r, words, base, n, most):
+    rows = []
+    for _ in range(n):
         text = list(base)
-        for at in r.sample(range(100), r.choice([1, 2, 3])):
+        for at in r.sample(range(len(base)), r.randint(0, most)):
             text[at] = r.choice(words)
-        rows.append((n, " ".join(text)))
-    got = near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()
+        rows.append(" ".join(text))
+    return rows
+
+
+def test_borderline_copies_keep_every_link(spark):
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(4000)]
+    rows = list(enumerate(edited_copies(r, words, r.choices(words, k=100), 300, 3)))
     want = brute(rows)
-    assert sum(x[3] for x in want) == 197 and {tuple(x) for x in got} == want
+    assert 50 < sum(x[3] for x in want) < 290
+    assert {tuple(x) for x in near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()} == want
+
+
+def test_large_nodes_branch(spark):
+    """A group far over the leaf, whose members are only partly connected, by pivots and branching."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts = edited_copies(r, words, r.choices(words, k=100), 150, 4) + edited_copies(r, words, r.choices(words, k=60), 60, 1)
+    texts += [" ".join(r.choices(words, k=r.randint(1, 80))) for _ in range(60)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)
+    want = brute(rows)
+    assert {tuple(x) for x in near_duplicates(frame, leaf=24).collect()} == want
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(900)]
+    one, two = r.choices(words, k=120), r.choices(words, k=120)
+    near = lambda x: " ".join([*x[:60], "changed", *x[61:]])
+    rows = [(1, " ".join(one)), (5, near(one)), (5, " ".join(two)), (9, near(two)), (11, "a b c")]
+    got = near_duplicates(spark.createDataFrame([(*x, "x", "y") for x in rows], SCHEMA)).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (5, 1), (9, 1), (11, 11)}
+
+
+def test_overlaps_and_forests():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 300, r.integers(1, 90))) for _ in range(40)]
+    got = near_dedup.overlaps(np.concatenate(sets), np.repeat(np.arange(40), [len(x) for x in sets]), 40, width=17)
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (got - np.diag(np.diag(got)) == want - np.diag(np.diag(want))).all()
+    linked = want > 12
+    x, y = near_dedup.spanning(linked)
+    root = list(range(40))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        assert linked[i, j] and find(i) != find(j)
+        root[find(i)] = find(j)
+    assert all(find(int(i)) == find(int(j)) for i, j in zip(*np.nonzero(linked), strict=True))
 
 
-def test_margin_keeps_links_at_the_threshold():
+def test_estimate_has_four_standard_errors():
     m = near_dedup.COORDINATES + near_dedup.EXTRA
-    lost = sum(comb(m, x) * 0.85 ** x * 0.15 ** (m - x) for x in range(m) if x / m < 0.85 - near_dedup.MARGIN)
+    same = 0.85 + 0.15 / 16
+    assert near_dedup.MARGIN >= 4 * (same * (1 - same) / m) ** 0.5 * 16 / 15
+    lost = sum(comb(m, x) * same ** x * (1 - same) ** (m - x) for x in range(m) if (x / m - 1 / 16) * 16 / 15 < 0.85 - near_dedup.MARGIN)
     assert lost < 2e-4
 
 
