@@ -10,8 +10,6 @@ pieces of each length to take. A short text is never cut.
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections import OrderedDict
 
@@ -26,8 +24,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Pieces a group holds on average.
 GROUP = 4096
-#: Pieces whose ids a worker remembers.
-MEMO = 600_000
+#: Pieces whose ids a worker remembers, and the characters of the longest that it does.
+MEMO, KEPT = 600_000, 64
 
 
 # In Latin-1 text the pre-tokenizer's pieces can be found by one pattern on the lower-cased text; other texts go through
@@ -37,6 +35,9 @@ _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]+|[^ \\t-\\r{
 _PLAIN = re.compile("[\\t-\\r -;=?-~\u00a1-\u00ff]*")  # without < and >, which may start a special token, and without controls
 
 _WORD = re.compile("[^ \\t-\\r]+")
+_LETTERS = re.compile(f"[{_LETTER}]+")
+#: Ids of pieces and words that a worker has met, by tokenizer: later tasks of the same Python worker find them again.
+_MET: dict[str, dict[str, bytes]] = {}
 
 
 def _encoder(tokenizer: str, end_id: int):
@@ -47,36 +48,42 @@ def _encoder(tokenizer: str, end_id: int):
     closing = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
     for piece, i in tok.get_vocab().items():
         closing[i] = piece.endswith("</w>")
-    # the memo outlives a task: later tasks of the same Python worker find it again
-    kept = sys.modules.setdefault("_kindredge_worker", types.ModuleType("_kindredge_worker")).__dict__
-    end, memo = end_id.to_bytes(4, "little"), kept.setdefault(("ids", tokenizer), {})
+    end, memo = end_id.to_bytes(4, "little"), _MET.setdefault(tokenizer, {})
 
-    def learn(pieces: list[str]) -> None:
+    def alone(pieces: list[str]):
+        return (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)) if pieces else ()
+
+    def learn(pieces: list[str]) -> dict[str, bytes]:
+        """Ids of the pieces that the memo does not hold; the short ones are remembered."""
         new = [p for p in dict.fromkeys(pieces) if p not in memo]
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = list(dict.fromkeys(pieces))
-        letters = [p for p in new if p.isalpha() and _PIECE.fullmatch(p)]  # one piece each, closed by its last token
+        ids: dict[str, bytes] = {}
+        letters = [p for p in new if _LETTERS.fullmatch(p)]  # lower-case Latin-1 letters: one piece each, closed by its last token
         for a in range(0, len(letters), 200):
             part = letters[a: a + 200]
-            ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(closing[ids]) + 1
-            assert len(ends) == len(part)
-            raw, at = ids.tobytes(), 0
+            found = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(closing[found]) + 1
+            if len(ends) != len(part):  # a vocabulary whose pieces do not close words
+                ids.update(zip(part, alone(part), strict=True))
+                continue
+            raw, at = found.tobytes(), 0
             for p, e in zip(part, (ends * 4).tolist(), strict=True):
-                memo[p] = raw[at:e]
+                ids[p] = raw[at:e]
                 at = e
-        rest = [p for p in new if p not in memo]
-        for p, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
+        rest = [p for p in new if p not in ids]
+        ids.update(zip(rest, alone(rest), strict=True))
+        memo.update((p, x) for p, x in ids.items() if len(p) <= KEPT)
+        return ids
 
     def encode(text: str) -> bytes:
         pieces = _PIECE.findall(text.lower()) if _PLAIN.fullmatch(text) else _WORD.findall(text)
         try:
             return b"".join([*map(memo.__getitem__, pieces), end])
         except KeyError:
-            learn(pieces)
-            return b"".join([*map(memo.__getitem__, pieces), end])
+            new = learn(pieces)
+            return b"".join([*(new[p] if p in new else memo[p] for p in pieces), end])
 
     return encode
 
@@ -98,7 +105,6 @@ def _piece_cutter(tokenizer: str, capacity: int, end_id: int):
     return run
 
 
-
 def fill(lengths: dict[int, int], room: int) -> list[tuple[int, int]]:
     """(length, how many) of the multiset ``lengths`` whose sum is as close to ``room`` as possible without passing it.
 

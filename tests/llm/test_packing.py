@@ -5,7 +5,7 @@ from collections import defaultdict
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from kindredge.llm.packing import fill, pack, pack_lengths
+from kindredge.llm.packing import END_ID, _encoder, fill, pack, pack_lengths
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -59,3 +59,22 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_ids_of_any_script():
+    """Against the tokenizer itself: mixed scripts, capitals that lower to two characters, marks, long words, special tokens."""
+    tok, encode, r = Tokenizer.from_file(PATH), _encoder(PATH, END_ID), random.Random(9)
+    ranges = [(32, 127), (160, 256), (256, 592), (768, 880), (880, 1024), (1024, 1280), (1424, 1536), (1536, 1792), (2304, 2432), (3585, 3676), (4352, 4608), (7680, 8192), (8192, 8304), (12352, 12544), (19968, 20200), (44032, 44300), (64256, 64280), (65281, 65400), (120120, 120200), (127744, 128000), (0, 32)]
+    texts = ["D\u0130YARBAKIR", "\u0130", "STRASSE \u1e9e \u03a3\u0391\u03a3", "x" * 5000, "\u01c5 \u01c4\u0301", "<|endoftext|>a<|startoftext|>\u0130", "it's I'LL o'\u0130", "\ufb03 \u2126 \u212b", "a\u00a0b\u2028c\x1cd\x85e"]
+    for _ in range(1500):
+        used = r.sample(ranges, r.choice([1, 2, 3]))
+        texts.append("".join(" " if r.random() < 0.15 else chr(r.randrange(*r.choice(used))) for _ in range(r.randint(1, 60))))
+    for t in texts:
+        want = b"".join(x.to_bytes(4, "little") for x in [*tok.encode(t, add_special_tokens=False).ids, END_ID])
+        assert encode(t) == want, ascii(t)
+
+
+def test_turkish_capitals_pack(spark):
+    got = pack(spark.createDataFrame([(1, "D\u0130YARBAKIR \u0130"), (2, "plain")], "doc_id long, text string"), PATH).collect()
+    tok = Tokenizer.from_file(PATH)
+    assert {x.doc_id: x.doc_tokens for x in got} == {1: len(tok.encode("D\u0130YARBAKIR \u0130", add_special_tokens=False).ids) + 1, 2: 2}
