@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import Work
 
 
+#: Edges that one partition holds: fewer than this are a single partition, within which no step needs an exchange.
+PART = 500_000
+
+
 def components(links: DataFrame, work: Work, name: str = "cc") -> DataFrame:
     """``links`` (a, b) -> (node, component), component being the smallest node reachable; nodes without links are absent.
 
@@ -17,11 +21,12 @@ def components(links: DataFrame, work: Work, name: str = "cc") -> DataFrame:
     is written to the shared folder. Null ends and self-links are ignored.
 
     The steps always settle, in a number of rounds that grows with the logarithm of the nodes."""
-    edges = links.filter("a is not null and b is not null and a <> b").select(
-        F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
+    edges = links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
     edges = work.save(edges, f"{name}-0")
     for i in itertools.count(1):
-        both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        edges = edges.coalesce(1) if edges.count() <= PART else edges
+        ends = F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e")
+        both = edges.select(ends).select("e.v", "e.u")
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.filter("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         large = large.filter("v <> u").distinct()
@@ -32,6 +37,7 @@ def components(links: DataFrame, work: Work, name: str = "cc") -> DataFrame:
         work.drop(f"{name}-{i - 1}")
         edges = after
         # every node points at one root, and no root points further: done
-        if not after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").head(1):
+        roots = after.select(F.col("v").alias("u")).distinct()
+        if not after.join(roots, "u", "left_semi").head(1):
             return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
-                edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
\ No newline at end of file
+                edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

@@ -36,7 +36,7 @@ TREES = 12
 #: 0.9998 in 7 levels, 0.998 in 11 and 0.99 in 15 (branching formula, over the coordinates that agree by chance).
 COPIES = 6
 #: Members and shingles that a leaf may hold: what bounds the memory of a task.
-LEAF = 2048
+LEAF = 4096
 SHINGLES = 8_000_000
 PIVOTS = 2
 #: Candidates are taken this far below the threshold: four standard errors of the estimate at 0.85 (0.0232 each).
@@ -212,8 +212,8 @@ def _contested(num: int, den: int):
         m = len(rep)
         met = overlaps(values, owner, m) > 0
         some = np.zeros(m, bool)
-        for a in range(0, m - 1, 256):
-            i, j = np.triu_indices(min(256, m - a), 1, m - a)
+        for a in range(0, m - 1, 64):
+            i, j = np.triu_indices(min(64, m - a), 1, m - a)
             i, j = i + a, j + a
             ok = (comp[i] != comp[j]) & _sized(n[i], n[j], num, den) & ~met[i, j]
             i, j = i[ok], j[ok]
@@ -305,8 +305,11 @@ def _linker(num: int, den: int):
                         heads.append(rep[a + 1: b])
                 elif b - a > 2:
                     size = n[a:b]
-                    both = overlaps(values[bounds[a]: bounds[b]], np.repeat(np.arange(b - a), size), b - a).astype(np.int64)
-                    x, y = spanning((den + num) * both >= num * (size[:, None] + size[None, :]))
+                    both = overlaps(values[bounds[a]: bounds[b]], np.repeat(np.arange(b - a), size), b - a)
+                    linked = np.empty(both.shape, bool)
+                    for c in range(0, b - a, 256):
+                        linked[c: c + 256] = (den + num) * both[c: c + 256].astype(np.int64) >= num * (size[c: c + 256, None] + size)
+                    x, y = spanning(linked)
                     tails.append(rep[a:b][x])
                     heads.append(rep[a:b][y])
             if tails:
@@ -388,7 +391,7 @@ class Join:
     def level(self, depth: int, member: DataFrame) -> DataFrame | None:
         """Compare the nodes of one depth; the members of large nodes that go on branching, or None if there are none."""
         work = self.work
-        member = work.save(member if depth == 0 else member.distinct(), f"member{depth}")
+        member = work.save(member, f"member{depth}")
         sizes = work.save(member.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("size > 1"), f"sizes{depth}")
         large = (F.col("size") > 2) & ((F.col("size") > self.leaf) | (F.col("shingles") > self.shingles))  # two sets always fit
         member = work.save(member.join(sizes, "node").select("node", "rep", "k1", "n", large.alias("large")), f"shared{depth}")
@@ -409,7 +412,7 @@ class Join:
             texts = self.docs.withColumnRenamed("doc_id", "rep").join(maybe_broadcast(contested, longs), "rep")
             sets = texts.select("rep", "text", "nodes").mapInArrow(_set_maker(self.k), "node long, rep long, s array<long>")
             links = sets.repartition("node").sortWithinPartitions("node").mapInArrow(_linker(self.num, self.den), "a long, b long")
-            self.add(depth, work.save(links.distinct(), f"links{depth}"))
+            self.add(depth, work.save(links, f"links{depth}"))
         if not has_big:
             return None
         big = self.label(big, "rep", "comp")
