@@ -1,12 +1,16 @@
 """Benchmark decontamination: SimHash windows, a multi-index on their Hamming blocks, exact confirmation.
 
 A fingerprint has 64 bits: each bit is the majority over the hashed 2-word shingles of a window of words. Benchmark items
-are dealt to length classes (each ``ratio`` times the one before, rounded down), and the first and the last window of the
-class's length of each item are fingerprinted. Every window of every document, at every word, is fingerprinted for every
-class. The 64 bits are cut into four blocks of 16; a table for each block marks every value within one bit of an item's
-block. By the pigeonhole principle any fingerprint within 7 bits of an item's has a marked block, so none is missed.
-What is within the radius is confirmed by the weighted Jaccard similarity of 5-word shingles (weight: how often a shingle
-occurs) between the item and the window of the item's own length.
+are dealt to length classes (each ``RATIO`` times the one before, rounded down); the first and the last window of the
+class's length of each item are fingerprinted. Edits may move these beyond any radius, so an item also has short guard
+windows, placed so that a passage of at least the wanted similarity leaves one of them untouched (see ``clean_run``), and
+that one is found at distance 0. Every window of every document, at every word, is fingerprinted for every class.
+
+The 64 bits are cut into four blocks of 16; for each block the fingerprints are sorted into postings by the block's value.
+Two fingerprints within ``RADIUS`` = 7 bits have a block that differs in one bit at most (pigeonhole), so the postings of a
+window's 17 neighbouring values in each block hold all of its fingerprints within the radius, and only those postings are
+compared. What is within the radius is confirmed by the weighted Jaccard similarity of 5-word shingles (weight: how often
+a shingle occurs) between the item and the document's window of the item's own length.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, mix64, word_hashes
+from .common import Work, bounded_batches, chunks, mix64, word_hashes
 
 RADIUS = 7
 RATIO = 1.15
+#: Words of a guard window: the longest of these that fits.
+GUARDS = (5, 6, 8, 11, 16)
 #: Items that a pass over the documents looks for at once; more items take more passes.
 BLOCK = 20_000
 _ONES = np.uint64(0x0101010101010101)
@@ -75,11 +81,27 @@ def length_classes(lengths: list[int], ratio: float = RATIO) -> dict[int, int]:
     return out
 
 
+def clean_run(n: int, k: int, least: float) -> int:
+    """Words in a row that an item of ``n`` words surely shares with a window of at least the similarity ``least``.
+
+    Of its s = n - k + 1 shingles at most d are missing: common / (2 s - common) >= least. An edited word amid the item
+    takes k of them, so at most d // k gaps part the rest, and the longest part has the mean length at least."""
+    s = n - k + 1
+    d = s - int(np.ceil(2 * s * least / (1 + least) - 1e-9))
+    return -(-(s - d) // (d // k + 1)) + k - 1
+
+
+def edits(n: int, k: int, least: float) -> int:
+    """Words by which edits can shift an alignment within a passage of at least the similarity ``least``."""
+    s = n - k + 1
+    return (s - int(np.ceil(2 * s * least / (1 + least) - 1e-9))) // k + 1
+
+
 class Index:
     """The fingerprints of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int):
-        self.k, self.items, self.exact = k, [], {}
+    def __init__(self, items: list[tuple[int, str]], k: int, least: float = 0.8):
+        self.k, self.least, self.items, self.exact = k, least, [], {}
         raw = [(i, (t or "").encode()) for i, t in items]
         words, bounds = word_hashes([t for _, t in raw]) if raw else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         for (i, _), a, b in zip(raw, bounds[:-1], bounds[1:], strict=True):
@@ -88,80 +110,97 @@ class Index:
                 self.exact.setdefault(len(w), {}).setdefault(w.tobytes(), []).append(i)
             elif len(w):
                 self.items.append((i, w, _shingles(w, k)))
-        # lanes hold counts under 128: longer items are looked for by windows of 128 words
+        # lanes hold counts under 128: longer items have windows of 128 words
         classes = length_classes([min(128, len(w)) for _, w, _ in self.items])
         self.classes: dict[int, dict] = {}
         for at, (_, w, _) in enumerate(self.items):
-            size = classes[min(128, len(w))]
-            c = self.classes.setdefault(size, {"fp": [], "item": [], "shift": []})
-            for shift in {0, len(w) - size}:
-                c["fp"].append(fingerprints(running_bits(w[shift: shift + size]), size)[0])
+            own, run = classes[min(128, len(w))], clean_run(len(w), k, least)
+            guard = max((g for g in GUARDS if g <= run), default=run)
+            shifts = {(own, 0), (own, len(w) - own)}
+            shifts |= {(guard, min(x, len(w) - guard)) for x in range(0, len(w) - guard + run - guard + 1, run - guard + 1)}
+            lanes = running_bits(w)
+            for size, shift in sorted(shifts):
+                c = self.classes.setdefault(size, {"fp": [], "item": [], "shift": []})
+                c["fp"].append(fingerprints(lanes[:, shift: shift + size], size)[0])
                 c["item"].append(at)
                 c["shift"].append(shift)
         near = np.array([0] + [1 << b for b in range(16)], np.uint16)
         for c in self.classes.values():
-            c["fp"] = np.array(c["fp"], np.uint64)
-            c["marks"] = np.zeros((4, 1 << 16), bool)
+            c["fp"], c["item"], c["shift"] = np.array(c["fp"], np.uint64), np.array(c["item"]), np.array(c["shift"])
+            c["marks"], c["order"], c["starts"] = np.zeros((4, 1 << 16), bool), [], []
             for block, values in enumerate(c["fp"].view(np.uint16).reshape(-1, 4).T):
                 c["marks"][block, (values[:, None] ^ near).ravel()] = True
+                c["order"].append(np.argsort(values, kind="stable"))
+                c["starts"].append(np.concatenate(([0], np.cumsum(np.bincount(values, minlength=1 << 16)))))
+        self.near = near
 
-    def find(self, words: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item position in the block, first word, similarity) candidates confirmed in one document."""
-        found: dict[int, tuple[int, float]] = {}
+    def exact_places(self, words: np.ndarray):
+        """(item, first word) of items of fewer than k words in one document."""
         for n, known in self.exact.items():
+            met = set()
             for at in range(len(words) - n + 1):
                 for i in known.get(words[at: at + n].tobytes(), ()):
-                    found.setdefault(("short", i), (at, 1.0))
-        return found
+                    if i not in met:
+                        met.add(i)
+                        yield i, at
 
     def candidates(self, lanes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window starts, entries of the class) within the radius."""
+        """(window starts, entries of the class) within the radius; a pair can come once for each of the four blocks."""
         c = self.classes[size]
         fp = fingerprints(lanes, size)
         parts = fp.view(np.uint16).reshape(-1, 4)
-        hit = c["marks"][0][parts[:, 0]]
-        for block in range(1, 4):
-            hit |= c["marks"][block][parts[:, block]]
-        at = np.flatnonzero(hit)
-        if not len(at):
-            return at, at
-        starts, entries = [], []
-        step = max(1, (1 << 20) // max(1, len(c["fp"])))
-        for a in range(0, len(at), step):
-            w, e = np.nonzero(np.bitwise_count(fp[at[a: a + step], None] ^ c["fp"][None, :]) <= RADIUS)
-            starts.append(at[a: a + step][w])
-            entries.append(e)
+        starts, entries = [np.zeros(0, np.intp)], [np.zeros(0, np.intp)]
+        for block in range(4):
+            hit = np.flatnonzero(c["marks"][block].take(parts[:, block]))
+            for a in range(0, len(hit), 4096):
+                at = hit[a: a + 4096]
+                values = (parts[at, block][:, None] ^ self.near).ravel()
+                first = c["starts"][block].take(values)
+                count = c["starts"][block].take(values.astype(np.intp) + 1) - first
+                place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                entry = c["order"][block][np.repeat(first, count) + place]
+                window = np.repeat(np.repeat(at, 17), count)
+                near = np.bitwise_count(fp[window] ^ c["fp"][entry]) <= RADIUS
+                starts.append(window[near])
+                entries.append(entry[near])
         return np.concatenate(starts), np.concatenate(entries)
 
+    def places(self, words: np.ndarray, bounds: np.ndarray):
+        """(document, item position, first word from the document's start, similarity) of the best window of each pair."""
+        lanes = running_bits(words)
+        tried: dict[tuple[int, int], set] = {}
+        for size, c in self.classes.items():
+            start, entry = self.candidates(lanes, size)
+            doc = np.searchsorted(bounds, start, "right") - 1
+            inside = start + size <= bounds[doc + 1]
+            start, entry, doc = start[inside], entry[inside], doc[inside]
+            for d, item, first in set(zip(doc.tolist(), c["item"][entry].tolist(), (start - c["shift"][entry]).tolist(), strict=True)):
+                tried.setdefault((d, item), set()).add(first)
+        for (d, item), firsts in sorted(tried.items()):
+            _, w, shingles = self.items[item]
+            lo, hi = int(bounds[d]), int(bounds[d + 1])
+            slack = edits(len(w), self.k, self.least)
+            last = max(lo, hi - len(w))
+            best = (0.0, 0)
+            for first in sorted({min(max(lo, f + x), last) for f in firsts for x in range(-slack, slack + 1)}):
+                s = weighted_jaccard(shingles, _shingles(words[first: min(hi, first + len(w))], self.k))
+                best = max(best, (s, -first))
+            if best[0] >= self.least:
+                yield d, item, -best[1] - lo, best[0]
+
 
 def _scanner(items: list[tuple[int, str]], k: int, least: float):
     def run(batches):
-        index = Index(items, k)
+        index = Index(items, k, least)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             out: list[tuple] = []
             for a, b in chunks(texts):
                 words, bounds = word_hashes(texts[a:b])
-                lanes = running_bits(words)
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                for size in index.classes:
-                    for start, entry in zip(*(x.tolist() for x in index.candidates(lanes, size)), strict=True):
-                        c = index.classes[size]
-                        item, w, shingles = index.items[c["item"][entry]]
-                        doc = int(np.searchsorted(bounds, start, "right")) - 1
-                        lo, hi = int(bounds[doc]), int(bounds[doc + 1])
-                        if start + size > hi:
-                            continue
-                        first = min(max(lo, start - c["shift"][entry]), max(lo, hi - len(w)))
-                        sim = weighted_jaccard(shingles, _shingles(words[first: min(hi, first + len(w))], k))
-                        if sim >= least and (sim, -first) > best.get((doc, item), (0.0, 0)):
-                            best[doc, item] = (sim, -first)
-                for (doc, item), (sim, first) in best.items():
-                    out.append((ids[a + doc], item, -first - int(bounds[doc]), sim))
+                out += [(ids[a + d], index.items[item][0], first, s) for d, item, first, s in index.places(words, bounds)]
                 if index.exact:
-                    for doc in range(b - a):
-                        for (_, item), (at, sim) in index.find(words[bounds[doc]: bounds[doc + 1]]).items():
-                            out.append((ids[a + doc], item, at, sim))
+                    for d in range(b - a):
+                        out += [(ids[a + d], item, at, 1.0) for item, at in index.exact_places(words[bounds[d]: bounds[d + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                                              names=["doc_id", "item_id", "start_word", "similarity"])
 
@@ -179,13 +218,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text")
-    held, out, schema = [], None, "doc_id long, item_id long, start_word long, similarity double"
+    schema = "doc_id long, item_id long, start_word long, similarity double"
+    work, held, parts = Work(docs.sparkSession, "leaks"), [], 0
     for row in items.toLocalIterator():
+        if len(held) == block:  # a further block follows: this one's rows are written, so that the driver holds one at a time
+            work.save(docs.mapInArrow(_scanner(held, k, least), schema), f"part{parts}")
+            held, parts = [], parts + 1
         held.append((row.item_id, row.text))
-        if len(held) == block:
-            part, held = docs.mapInArrow(_scanner(held, k, least), schema), []
-            out = part if out is None else out.union(part)
-    if held or out is None:
-        part = docs.mapInArrow(_scanner(held, k, least), schema)
-        out = part if out is None else out.union(part)
+    out = docs.mapInArrow(_scanner(held, k, least), schema)
+    for i in range(parts):
+        out = out.union(work.load(f"part{i}", schema))
     return out
