@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,27 +28,42 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one is set only where the setting is missing."""
+    """The shared folder that the session names in spark.checkpoint.dir (or a checkpoint folder set before). Where neither is
+    set, a temporary one is made for a local master; on a cluster that is an error, as executors would write elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        root = tempfile.mkdtemp(prefix="kindredge-")
-        spark.sparkContext.setCheckpointDir(root)
+    if root:
+        return root
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="kindredge-")
+    spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 class Work:
     """Intermediate tables of one operator call, written under the shared folder so that lost executors cost nothing.
 
-    ``drop`` removes tables that later steps no longer read."""
+    ``drop`` removes tables that later steps no longer read. What an operator's lazy result still reads stays until the
+    caller removes it: with ``collected(held)`` the work tables of operators called within are listed in ``held``."""
 
-    live: list["Work"] = []
+    _scopes: list[list["Work"]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        Work.live.append(self)
+        if Work._scopes:
+            Work._scopes[-1].append(self)
+
+    @classmethod
+    @contextmanager
+    def collected(cls, held: list["Work"]):
+        cls._scopes.append(held)
+        try:
+            yield held
+        finally:
+            cls._scopes.pop()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,12 +83,6 @@ class Work:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             p.getFileSystem(conf).delete(p, True)
 
-    @classmethod
-    def release(cls) -> None:
-        """Remove every work table: call it only when no result that reads them is still to be computed."""
-        while cls.live:
-            cls.live.pop().drop()
-
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` has ``rows`` slim rows (already counted): broadcast up to ``limit``, else left to a shuffle join."""
