@@ -45,6 +45,7 @@ class Model:
     depth: int = 5
     step: float = 0.2
     folds: int = 2
+    stages: int = 3
     seed: int = 42
     exclude: tuple[str, ...] = ()
 

@@ -39,11 +39,23 @@ def postings(s1_keys: DataFrame, cap: int) -> DataFrame:
     return s1_keys.groupBy("country", "key").agg(F.count("*").alias("n")).filter(F.col("n") <= cap)
 
 
+def index(s1_keys: DataFrame, cap: int) -> DataFrame:
+    """(h, weight, ids): each hashed key of at most ``cap`` entities, its rarity and its entities. Keys are counted first
+    (map-side), so that no list grows beyond the cap; the lists then form where the counted keys already lie."""
+    hashed = s1_keys.select(F.xxhash64("country", "key").alias("h"), "entity_id")
+    counted = hashed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") <= cap)
+    return hashed.join(counted, "h").groupBy("h").agg((1.0 / F.log2(1.0 + F.first("n"))).alias("weight"), F.collect_list("entity_id").alias("ids"))
+
+
 def votes(s1_keys: DataFrame, cand_keys: DataFrame, cap: int) -> DataFrame:
-    """(c_id, s1_id, country, votes): the sum of 1 / log2(1 + n) over shared keys."""
-    index = s1_keys.join(postings(s1_keys, cap), ["country", "key"]).select("country", "key", F.col("entity_id").alias("s1_id"), "n")
-    hits = cand_keys.select("country", "key", F.col("entity_id").alias("c_id")).join(index, ["country", "key"])
-    return hits.groupBy("c_id", "s1_id", "country").agg(F.round(F.sum(1.0 / F.log2(1.0 + F.col("n"))), 9).alias("votes"))
+    """(c_id, s1_id, country, votes): the sum of 1 / log2(1 + n) over shared keys.
+
+    A candidate's keys meet the index as whole lists; these travel to the candidate's partition, where they are opened
+    and summed: pairs are formed after the last exchange, and what follows by record (top-k) needs none."""
+    probe = cand_keys.select(F.xxhash64("country", "key").alias("h"), "country", F.col("entity_id").alias("c_id"))
+    met = probe.join(index(s1_keys, cap), "h").select("c_id", "country", "weight", "ids").repartition("c_id")
+    hits = met.select("c_id", "country", "weight", F.explode("ids").alias("s1_id"))
+    return hits.groupBy("c_id", "s1_id", "country").agg(F.round(F.sum("weight"), 9).alias("votes"))
 
 
 def top_candidates(v: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:

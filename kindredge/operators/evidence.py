@@ -23,19 +23,38 @@ def verdict(d: DataFrame) -> Column:
     return F.when(F.col("c_id").isNull(), "no candidate").when(F.col("selected"), "matched").when(F.col("rival_id").isNotNull(), "claimed by another entity").otherwise("rejected")
 
 
+def number_diff(one: Column, two: Column) -> tuple[Column, Column]:
+    """(numbers of the entity's address that the record's lacks, the record's that the entity's lacks), without leading
+    zeros, each once, in order."""
+    numbers = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([0-9]+)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")))
+    return F.array_except(numbers(one), numbers(two)), F.array_except(numbers(two), numbers(one))
+
+
 def reasons() -> Column:
-    """Array of sentences, each led by + (for), - (against) or · (context). The first group gives at most one."""
+    """Array of sentences, each led by + (for), - (against) or · (context), of a row with raw addresses (s1_addr, c_addr), pair
+    features, decision and rival."""
     name, sel, rival = F.col("nm_tset"), F.col("selected"), F.col("rival_id").isNotNull()
-    inside, shift = F.col("num_p_in"), F.expm1("num_logdiff")
-    numbers = (
-        F.when(~sel & (inside == 0) & (F.col("num_frac2") < 1) & (name >= 85) & ~rival, "- same name, another house number: a look-alike")
-        .when((inside == 1) & (F.col("num_frac2") < 1), "+ house number found; - other numbers differ").when(inside == 1, "+ house number found")
-        .when((F.col("num_drop") == 1) & sel, "+ house number lost a digit").when((shift >= 1) & (shift <= 60) & (name >= 85) & ~sel, "- house number is a little off")
-        .when(F.col("num_frac1") >= 0.5, "· half of the numbers agree").when(inside == 0, "- numbers differ").otherwise("· no number to compare"))
-    lines = [numbers, F.when(~sel & (name >= 85) & (F.col("tok_diff") > 0), "- the record's name has a further word"), F.when(F.col("c_f_pseudo") == 1, "· invented name"), F.when(F.col("c_f_url") == 1, "· name is an address of the web"),
-             F.when(F.col("c_f_script") == 1, "· another script"), F.when(F.col("c_f_empty_addr") == 1, "· no address"), F.when(F.col("c_f_alias") == 1, "+ names a former name"), F.when(name >= 95, "+ names agree"),
-             F.when((name < 60) & (F.col("c_f_pseudo") + F.col("c_f_url") + F.col("c_f_script") == 0), "- names differ"), F.when(F.col("loc_overlap") == 0, "- no place in common"), F.when(rival & ~sel, "- claimed by another entity"),
-             F.when(sel & (inside == 1) & (F.col("e_sib") > 0), "+ has the number that its look-alikes lack")]
+    inside, shift, part = F.col("num_p_in"), F.round(F.expm1("num_logdiff")).cast("long"), F.col("num_frac1")
+    lost, other = number_diff(F.col("s1_addr"), F.col("c_addr"))
+    both = (F.coalesce("c_addr", F.lit("")) != "") & (F.size(lost) > 0) & (F.size(other) > 0)
+    said = lambda pattern, *c: F.format_string(pattern, *c)
+    some = lambda a, n: F.array_join(F.slice(a, 1, n), ", ")
+    swapped = ~sel & both & (name >= 85) & ~rival
+    apart = ~swapped & (inside == 0) & F.col("num_logdiff").isNotNull()
+    lines = [
+        F.when(swapped, said("- number %s is absent, the record has %s instead: the sign of a look-alike", some(lost, 2), some(other, 3))),
+        F.when(~swapped & (inside == 1), F.lit("+ the record has the house number")),
+        F.when(~swapped & (inside == 1) & (part < 1), said("- only %d%% of the address's numbers are there", F.round(part * 100).cast("int"))),
+        F.when(apart, F.when((F.col("num_drop") == 1) & sel, F.lit("+ house number without one digit (noise)"))
+               .when((shift > 0) & (shift <= 60) & (name >= 85) & ~sel, said("- house number shifted by %d: the sign of a look-alike", shift))
+               .when(part >= 0.5, said("· house number differs by %d, but most other numbers agree", shift)).otherwise(said("- house number differs by %d", shift))),
+        F.when(~swapped & inside.isNull(), F.lit("· no house number to compare")),
+        F.when((F.col("tok_diff") > 0) & (name >= 85) & ~sel, F.lit("- a further word in the name, as decoys have")),
+        F.when(F.col("c_f_pseudo") == 1, F.lit("· invented name: only the address tells")), F.when(F.col("c_f_alias") == 1, F.lit("+ the real name follows an alias marker")),
+        F.when(F.col("c_f_url") == 1, F.lit("· the name is written as a web address")), F.when(F.col("c_f_script") == 1, F.lit("· the name is in another script")), F.when(F.col("c_f_empty_addr") == 1, F.lit("· no address: only the name tells")),
+        F.when(name >= 95, F.lit("+ same name")).when((name < 60) & (F.col("c_f_pseudo") + F.col("c_f_url") + F.col("c_f_script") == 0), said("- names differ (word overlap %d of 100)", F.round(name).cast("int"))),
+        F.when(F.col("loc_overlap") == 0, F.lit("- another city or region")), F.when(rival, said("- claimed more strongly by %s", F.col("rival_id"))),
+        F.when(sel & (F.col("e_sib") >= 1) & (inside == 1), said("+ beats %d look-alikes of this entity by the house number", F.col("e_sib").cast("int")))]
     return F.filter(F.array(*lines), lambda x: x.isNotNull())
 
 
@@ -53,9 +72,12 @@ def entity(d: DataFrame, s1_id: str) -> DataFrame:
     return d.filter(F.col("s1_id") == s1_id).orderBy(F.desc("selected"), F.desc("p"), "c_id")
 
 
-def demo(d: DataFrame, kind: str) -> DataFrame:
-    """Entities worth showing, those of three to eight candidates first."""
-    test = {"lookalike": F.max((~F.col("selected") & (F.col("sib") == 1)).cast("int")) == 1, "lowsim": F.max((F.col("selected") & (F.col("nm_tset") < 60)).cast("int")) == 1,
-            "empty": F.max(F.coalesce(F.col("selected"), F.lit(False)).cast("int")) == 0, "branch": F.max(F.col("s1_name_n")) > 0.7}[kind]
-    g = d.groupBy("s1_id").agg(test.alias("hit"), F.count("c_id").alias("n")).filter("hit")
-    return g.select("s1_id", "n").orderBy((~F.col("n").between(3, 8)), "s1_id")
+def demo(d: DataFrame, kind: str, country: str | None = None) -> DataFrame:
+    """(s1_id, n): entities worth showing, those of three to eight candidates first. ``kind``: lookalike, lowsim, empty,
+    branch, or country (with ``country``: its matched entities)."""
+    sel, true = F.coalesce("selected", F.lit(False)), F.col("label") == 1
+    rows = {"lookalike": ~sel & ~true & (F.col("nm_tset") >= 90) & (F.col("num_p_in") == 0) & (F.col("p") >= 0.5), "lowsim": sel & true & (F.col("nm_tset") < 50),
+            "empty": sel & true & (F.col("c_f_empty_addr") == 1), "branch": ~true & F.col("rival_id").isNotNull() & (F.col("nm_tset") >= 95), "country": sel & (F.col("country") == F.lit(country))}[kind]
+    found = F.lit(True) if kind == "country" else F.max((sel & true).cast("int")) == 1
+    g = d.groupBy("s1_id").agg(F.max(F.coalesce(rows, F.lit(False)).cast("int")).alias("hit"), found.alias("found"), F.count("c_id").alias("n")).filter("hit = 1 and found")
+    return g.select("s1_id", "n").orderBy(~F.col("n").between(3, 8), "s1_id")

@@ -15,7 +15,8 @@ from .normalize import core_tokens
 
 @dataclass
 class Lexicon:
-    """Learned maps; they hold what passed a support threshold, so they are small enough to travel with a plan."""
+    """Learned maps that travel with a plan. Transliteration, components and localities hold what passed a support threshold;
+    the vocabulary, used for closed-up names alone, the ``VOCABULARY`` most frequent name words."""
 
     translit: dict[str, str] = field(default_factory=dict)
     components: dict[str, str] = field(default_factory=dict)
@@ -25,9 +26,12 @@ class Lexicon:
     def vocab_set(self) -> frozenset[str]:
         return frozenset(w for w in self.vocab if len(w) >= 2) | frozenset(T.LEGAL) if self.vocab else frozenset()
 
+    def text(self) -> str:
+        return json.dumps(asdict(self), ensure_ascii=False)
+
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
-            json.dump(asdict(self), f, ensure_ascii=False)
+            f.write(self.text())
 
     @classmethod
     def load(cls, path: str) -> "Lexicon":
@@ -105,8 +109,18 @@ def vocabulary(*tables: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def fit(s1: DataFrame, cand: DataFrame, pairs: DataFrame, cfg: Normalise = Normalise()) -> Lexicon:
-    """Learn everything from base tables and known pairs; what is collected has passed its support threshold."""
+def _frequent_words(d: DataFrame, most: int) -> DataFrame:
+    counts = d.select(F.explode("name_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "token").limit(most).select("token")
+
+
+#: Words of source-1 names that closed-up names are cut into, the most frequent ones: what bounds the part that is collected.
+VOCABULARY = 200_000
+
+
+def fit(s1: DataFrame, cand: DataFrame, pairs: DataFrame, cfg: Normalise = Normalise(), words: int = VOCABULARY) -> Lexicon:
+    """Learn everything from base tables and known pairs; what is collected has passed its support threshold, or is bounded
+    by ``words``."""
     take = lambda d, a, b: {r[a]: r[b] for r in d.select(a, b).collect()}
     comps = {k: v for k, v in take(learn_components(s1, cand, pairs, cfg), "comp2", "comp1").items()}
-    return Lexicon(take(learn_translit(s1, cand, pairs, cfg), "native", "latin"), comps, sorted(r.comp for r in localities(s1, cfg.locality_min_share).collect()), sorted(r.token for r in vocabulary(s1).collect()))
+    return Lexicon(take(learn_translit(s1, cand, pairs, cfg), "native", "latin"), comps, sorted(r.comp for r in localities(s1, cfg.locality_min_share).collect()), sorted(r.token for r in _frequent_words(s1, words).collect()))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import json
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -61,6 +63,24 @@ def predict(model, d: DataFrame, out: str = "p") -> DataFrame:
     return fitted.transform(assembled(d, kept)).withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def save_model(model, path: str) -> None:
+    """The fitted pipeline and the names and order of its features, on any file system that Spark writes to."""
+    fitted, kept = model
+    fitted.write().overwrite().save(f"{path}/pipeline")
+    _session().createDataFrame([(json.dumps(kept),)], "features string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
+
+
+def load_model(path: str):
+    """What ``save_model`` wrote; ``predict`` refuses data that lacks one of its features."""
+    return PipelineModel.load(f"{path}/pipeline"), json.loads(_session().read.text(f"{path}/features").first()[0])
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active()
+
+
 def importance(model) -> dict[str, float]:
     fitted, kept = model
     values = fitted.stages[-1].featureImportances.toArray()
@@ -86,6 +106,20 @@ def apply_calibration(model, d: DataFrame, p: str = "p") -> DataFrame:
     return out.withColumn(p, F.col("prediction")).drop("_v", "prediction")
 
 
+def compare(d: DataFrame, features: list[str], valid: DataFrame, cfg: Model = Model(), kinds=("logistic", "forest", "gbt")) -> DataFrame:
+    """(kind, auc, ap, log_loss, f1) of learners fitted on ``d`` and scored on ``valid``."""
+    from .metrics import auc, average_precision, best_f1
+
+    out = None
+    for kind in kinds:
+        p = predict(fit(d, features, cfg, kind), valid).select("p", "y")
+        q = F.least(F.greatest("p", F.lit(1e-7)), F.lit(1 - 1e-7))
+        loss = p.agg(F.round(F.avg(-F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q))), 9).alias("log_loss"))
+        row = auc(p).crossJoin(average_precision(p)).crossJoin(loss).crossJoin(best_f1(p).select("f1")).select(F.lit(kind).alias("kind"), "auc", "ap", "log_loss", "f1")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def blend(d: DataFrame, labelled: list[str], base: str, unlabelled: str, weight: float = 1.0) -> DataFrame:
     """``p``: the base score where the country has labels, else the weighted mixture."""
     mixed = F.lit(weight) * F.col(unlabelled) + F.lit(1 - weight) * F.col(base)

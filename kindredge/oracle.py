@@ -6,7 +6,9 @@ from .config import Config
 from .functions import text as T
 from .sources.records import CAND_SQL, S1_SQL, TABLES
 
-B, SPLIT = Config().blocking, Config().split
+B, N, SPLIT = Config().blocking, Config().normalise, Config().split
+#: Latin letters and the Greek ones that stand for them in the records of er_translit.
+GREEK = ("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπθρστυωςχυζ")
 
 
 def _list(words) -> str:
@@ -121,7 +123,6 @@ SCORES = "round({0} / nullif({0} + {1}, 0), 9) AS precision, round({0} / nullif(
 
 def _endings() -> dict[str, str]:
     u = lambda c, salt="": f"(CAST(concat('0x', substr(md5(concat({c}, '{salt}')), 1, 8)) AS BIGINT) % 10000) / 10000"
-    keyed = "SELECT DISTINCT src, entity_id, unnest(list_transform(addr_comps, lambda x: concat_ws('|', country, x))) AS comp FROM base"
     auc = lambda t: f"""(SELECT round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 9) FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM {t} GROUP BY p))) AS auc,
   (SELECT round(sum(pos * tp / total) / nullif(sum(pos), 0), 9) FROM (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS total FROM (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM {t} GROUP BY p) WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))) AS ap"""
     cuts = [(f"rank<{k}", f"rank < {k}") for k in (1, 2, 3, 4, 6, 8)] + [(f"rel>={r}", f"rel >= {r}") for r in (0.2, 0.35, 0.5)]
@@ -131,6 +132,10 @@ def _endings() -> dict[str, str]:
     accents = [(a, b) for a, b in zip(*T._latin(), strict=False)]
     folded = f"translate(lower(coalesce(text, '')), '{''.join(a for a, _ in accents)}', '{''.join(b for _, b in accents)}')"
     verdict = "CASE WHEN d.c_id IS NULL THEN 'no candidate' WHEN selected THEN 'matched' WHEN o.s1_id <> d.s1_id THEN 'claimed by another entity' ELSE 'rejected' END"
+    once = lambda c: f"list_filter(list_transform(regexp_extract_all({c}, '([0-9]+)', 1), lambda x: regexp_replace(x, '^0+([0-9])', '\\1')), lambda x: true)"
+    comps = "SELECT *, row_number() OVER (PARTITION BY comp2 ORDER BY n * n / (f1 * f2) DESC, comp1) AS k FROM comp_pairs WHERE comp1 <> comp2 AND NOT regexp_matches(comp2, '[0-9]') QUALIFY k = 1"
+    places = "(SELECT b.entity_id, coalesce(list(DISTINCT k.comp) FILTER (p.comp IS NOT NULL), []) AS l FROM base b LEFT JOIN kc k ON k.entity_id = b.entity_id LEFT JOIN places p ON p.comp = k.comp GROUP BY b.entity_id)"
+    surface = "MAP {" + ", ".join(f"'{w}': '{short}'" for short, forms in T.SHORT_FORMS.items() for w in forms.split()) + "}"
     return {
         "er_source1": "SELECT entity_id, business_name, business_address, country FROM s1_business",
         "er_candidates": "SELECT * FROM cand_business",
@@ -141,9 +146,8 @@ def _endings() -> dict[str, str]:
         "er_fold_documents": f"SELECT doc_id, md5({folded}) AS folded FROM documents",
         "er_url_hosts": r"SELECT page_id, regexp_extract(lower(url), '^https?://([^/?#:]+)', 1) AS host, regexp_matches(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '\.(?:com|in|net|org|fr|co|io)\b|^[@#]|www\.') AS f_url FROM pages",
         "er_vocabulary": "SELECT DISTINCT unnest(name_tokens) AS token FROM base",
-        "er_component_pairs": f"""SELECT comp2, comp1, n, f1, f2 FROM (SELECT b.comp AS comp2, a.comp AS comp1, count(*) AS n FROM tr JOIN kc a ON a.entity_id = tr.s1_id JOIN kc b ON b.entity_id = tr.c_id GROUP BY ALL)
-  JOIN (SELECT comp AS comp1, count(*) AS f1 FROM tr JOIN kc ON kc.entity_id = tr.s1_id GROUP BY ALL) USING (comp1) JOIN (SELECT comp AS comp2, count(*) AS f2 FROM tr JOIN kc ON kc.entity_id = tr.c_id GROUP BY ALL) USING (comp2)""",
-        "er_localities": f"SELECT comp, n, round(n / total, 9) AS share FROM (SELECT comp, split_part(comp, '|', 1) AS country, count(*) AS n FROM ({keyed}) WHERE src = 1 GROUP BY ALL) JOIN (SELECT country, count(*) AS total FROM s1_business GROUP BY country) USING (country) WHERE n / total >= 0.0005 AND NOT regexp_matches(comp, '[0-9]')",
+        "er_component_pairs": "SELECT comp2, comp1, n, f1, f2 FROM comp_pairs",
+        "er_localities": "SELECT comp, n, round(n / total, 9) AS share FROM places",
         "er_pseudo_pairs": f"""SELECT DISTINCT s1_id, c_id FROM (SELECT country, name, num, min(entity_id) AS s1_id FROM bc WHERE src = 1 AND num IS NOT NULL GROUP BY ALL HAVING count(*) = 1) JOIN (SELECT entity_id AS c_id, country, name, unnest(n3) AS num FROM bc WHERE src = 2) USING (country, name, num)""",
         "er_block_keys": "SELECT country, key, entity_id FROM keys", "er_postings": "SELECT country, key, n FROM postings", "er_votes": "SELECT c_id, s1_id, country, votes FROM votes",
         "er_top_candidates": "SELECT c_id, s1_id, country, votes, CAST(rank AS INT) AS rank, round(rel, 9) AS rel FROM pairs",
@@ -160,7 +164,27 @@ def _endings() -> dict[str, str]:
   JOIN fin x ON x.entity_id = a.c_id LEFT JOIN fin z ON z.entity_id = b.c_id""",
         "er_owner": "SELECT s1_id, c_id, p FROM owned", "er_select": "SELECT s1_id, c_id, p FROM chosen", "er_decide": "SELECT s1_id, c_id, p FROM sel", "er_threshold": "SELECT s1_id, c_id, p FROM scored WHERE p >= 0.7",
         "er_per_entity": "SELECT * EXCLUDE (country) FROM ent",
-        "er_slices": f"SELECT 'ALL' AS slice, '' AS value, {SUMMARY} FROM ent UNION ALL SELECT 'country', country, {SUMMARY} FROM ent GROUP BY country UNION ALL SELECT 'singleton', 'true', {SUMMARY} FROM ent WHERE n_gt = 0 HAVING count(*) > 0",
+        "er_slices": f"SELECT 'ALL' AS slice, '' AS value, {SUMMARY} FROM said UNION ALL SELECT 'country', country, {SUMMARY} FROM said GROUP BY country UNION ALL SELECT 'candidates', bin, {SUMMARY} FROM said GROUP BY bin" + "".join(
+            f" UNION ALL SELECT '{name}', 'true', {SUMMARY} FROM said WHERE {c} HAVING count(*) > 0" for name, c in (("singleton", "n_gt = 0"), ("look_alike", "near"), ("unusual_name", "odd"), ("empty_address", "bare"))),
+        "er_tuned_floor": f"""SELECT CAST(floor AS DOUBLE) AS floor, round(avg(CASE WHEN n_pred = 0 AND n_gt = 0 THEN 1.0 ELSE 1.25 * tp / (n_pred + 0.25 * n_gt) END), 9) AS f FROM (SELECT g.floor, s.entity_id, count(c.c_id) AS n_pred, count(t.c_id) AS tp, any_value(coalesce(n, 0)) AS n_gt
+  FROM (SELECT unnest([0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5]) AS floor) g CROSS JOIN (SELECT * FROM s1_business WHERE {u('entity_id')} < {SPLIT.valid}) s
+  LEFT JOIN chosen c ON c.s1_id = s.entity_id AND c.p >= g.floor LEFT JOIN truth t ON t.s1_id = c.s1_id AND t.c_id = c.c_id LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY s1_id) x ON x.s1_id = s.entity_id GROUP BY ALL) GROUP BY floor ORDER BY f DESC, floor LIMIT 1""",
+        "er_lonely": "SELECT entity_id AS s1_id FROM s1_business WHERE entity_id NOT IN (SELECT s1_id FROM scored WHERE p >= 0.9)",
+        "er_number_diff": f"""SELECT s1_id, c_id, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS lost, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ',') AS other FROM (SELECT d.s1_id, d.c_id, {once('s.business_address')} AS a, {once('c.business_address')} AS b
+  FROM decided d JOIN s1_business s ON s.entity_id = d.s1_id JOIN cand_business c ON c.entity_id = d.c_id)""",
+        "er_entity": "SELECT s.entity_id AS s1_id, s.business_address AS s1_addr, d.c_id, c.business_address AS c_addr, d.p, d.selected FROM s1_business s LEFT JOIN decided d ON d.s1_id = s.entity_id LEFT JOIN cand_business c ON c.entity_id = d.c_id WHERE s.entity_id = 'S1-7'",
+        "er_surplus": f"SELECT a.country, round(greatest(a.per_entity - b.per_entity, 0.0), 9) AS extra FROM {dens('cand_business')} a JOIN {dens('(SELECT * FROM cand_business WHERE NOT is_decoy)')} b USING (country)",
+        "er_best_components": f"SELECT comp2, comp1, n, round(n / f2, 9) AS share, round(n * n / (f1 * f2), 9) AS cosine FROM ({comps})",
+        "er_learned_components": f"SELECT comp2, comp1, n FROM ({comps}) WHERE n / f2 >= 0.1 AND f2 >= 2",
+        "er_translit": f"""SELECT native, latin, n, round(n / total, 9) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY native) AS total, row_number() OVER (PARTITION BY native ORDER BY n DESC, latin) AS k FROM (SELECT native, latin, count(*) AS n FROM (SELECT translate(unnest(b.name_tokens), '{GREEK[0]}', '{GREEK[1]}') AS native, unnest(a.name_tokens) AS latin
+  FROM tr JOIN base a ON a.entity_id = tr.s1_id JOIN base b ON b.entity_id = tr.c_id WHERE len(a.name_tokens) = len(b.name_tokens)) WHERE regexp_matches(native, '[\\x{{0370}}-\\x{{FFFF}}]') AND regexp_matches(latin, '^[a-z]+$') GROUP BY ALL)) WHERE k = 1 AND n >= {N.translit_min_count} AND n / total >= {N.translit_min_share}""",
+        "er_places": f"""SELECT q.s1_id, q.c_id, CAST(CASE WHEN len(a.l) > 0 AND len(b.l) > 0 THEN len(list_intersect(a.l, b.l)) END AS INT) AS loc_overlap FROM pairs q JOIN {places} a ON a.entity_id = q.s1_id JOIN {places} b ON b.entity_id = q.c_id""",
+        "er_applied_lexicon": f"""SELECT entity_id, array_to_string(core, ' ') AS name_core, array_to_string(addr, ' ') AS addr_norm, coalesce(len(core) = 1 AND NOT f_url AND length(core[1]) >= 5 AND regexp_matches(core[1], '^[a-z]+$'), false) AS f_pseudo FROM (
+  SELECT *, CASE WHEN len(list_filter(toks, lambda x: NOT list_contains({_list(T.LEGAL)}, x))) > 0 THEN list_filter(toks, lambda x: NOT list_contains({_list(T.LEGAL)}, x)) ELSE toks END AS core,
+    list_filter(list_transform(list_filter(string_split(array_to_string(comps, ' '), ' '), lambda x: x <> ''), lambda x: coalesce({surface}[x], x)), lambda x: NOT list_contains({_list(T.ADDR_STOP)}, x)) AS addr FROM (
+  SELECT entity_id, f_url, list_transform(toks0, lambda x: coalesce(MAP {{'red': 'rouge', 'blue': 'bleu', 'green': 'vert'}}[x], x)) AS toks,
+    list_transform(addr_comps, lambda x: CASE WHEN country IN ('ASIA', 'EUROPE', 'AFRICA') AND regexp_replace(x, '^[0-9]+ ', '') = 'small street' THEN 'petite rue' ELSE regexp_replace(x, '^[0-9]+ ', '') END) AS comps
+  FROM (SELECT *, list_transform(list_transform(name_tokens, lambda x: coalesce(MAP {{'red': 'rouge', 'blue': 'bleu', 'green': 'vert'}}[x], x)), lambda x: CASE WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '\\p{{L}}') THEN translate(x, '{T.HOMOGLYPHS[0]}', '{T.HOMOGLYPHS[1]}') ELSE x END) AS toks0 FROM base)))""",
         "er_end_to_end": f"SELECT {SUMMARY} FROM ent", "er_oracle_ceiling": f"SELECT {SUMMARY} FROM ceil",
         "er_pair_report": f"SELECT tp, fp, fn_candidates, tn, fn_blocking, round((tp + tn) / (tp + tn + fp + fn_candidates + fn_blocking), 9) AS accuracy, {SCORES.format('tp', 'fp', '(fn_candidates + fn_blocking)')} FROM (SELECT count(*) FILTER (selected AND y = 1) AS tp, count(*) FILTER (selected AND y = 0) AS fp, count(*) FILTER (NOT selected AND y = 1) AS fn_candidates, count(*) FILTER (NOT selected AND y = 0) AS tn, (SELECT count(*) FROM truth ANTI JOIN pairs USING (s1_id, c_id)) AS fn_blocking FROM decided)",
         "er_threshold_table": f"SELECT threshold, tp, fp, {SCORES.format('tp', 'fp', '(n - tp)')} FROM (SELECT CAST(threshold AS DOUBLE) AS threshold, sum(y) AS tp, sum(1 - y) AS fp, (SELECT count(*) FROM truth) AS n FROM scored JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS threshold) ON p >= threshold GROUP BY threshold)",
@@ -188,6 +212,12 @@ def statements() -> dict[str, str]:
     chain += [("kc", "SELECT DISTINCT src, entity_id, unnest(list_transform(addr_comps, lambda x: concat_ws('|', country, x))) AS comp FROM base"),
               ("tr", f"SELECT * FROM truth WHERE (CAST(concat('0x', substr(md5(s1_id), 1, 8)) AS BIGINT) % 10000) / 10000 >= {SPLIT.valid} AND (CAST(concat('0x', substr(md5(s1_id), 1, 8)) AS BIGINT) % 10000) / 10000 < {SPLIT.valid + SPLIT.train}"),
               ("bc", f"SELECT src, entity_id, country, array_to_string(CASE WHEN len(list_filter(name_tokens, lambda x: NOT list_contains({_list(T.LEGAL)}, x))) > 0 THEN list_filter(name_tokens, lambda x: NOT list_contains({_list(T.LEGAL)}, x)) ELSE name_tokens END, ' ') AS name, all_nums[1] AS num, all_nums[1:3] AS n3 FROM base"),
+              ("comp_pairs", """SELECT comp2, comp1, n, f1, f2 FROM (SELECT b.comp AS comp2, a.comp AS comp1, count(*) AS n FROM tr JOIN kc a ON a.entity_id = tr.s1_id JOIN kc b ON b.entity_id = tr.c_id GROUP BY ALL)
+  JOIN (SELECT comp AS comp1, count(*) AS f1 FROM tr JOIN kc ON kc.entity_id = tr.s1_id GROUP BY ALL) USING (comp1) JOIN (SELECT comp AS comp2, count(*) AS f2 FROM tr JOIN kc ON kc.entity_id = tr.c_id GROUP BY ALL) USING (comp2)"""),
+              ("places", f"SELECT comp, n, total FROM (SELECT comp, split_part(comp, '|', 1) AS country, count(*) AS n FROM kc WHERE src = 1 GROUP BY ALL) JOIN (SELECT country, count(*) AS total FROM s1_business GROUP BY country) USING (country) WHERE n / total >= {N.locality_min_share} AND NOT regexp_matches(comp, '[0-9]')"),
+              ("said", """SELECT e.*, coalesce(odd, false) AS odd, coalesce(bare, false) AS bare, coalesce(near, false) AS near, CASE WHEN k IS NULL THEN '0' WHEN k <= 3 THEN '1-3' WHEN k <= 6 THEN '4-6' WHEN k <= 10 THEN '7-10' WHEN k <= 20 THEN '11-20' ELSE '>20' END AS bin FROM ent e
+  LEFT JOIN (SELECT t.s1_id, bool_or(f_pseudo OR f_alias OR f_url) AS odd, bool_or(f_empty_addr) AS bare FROM truth t JOIN fin ON fin.entity_id = t.c_id GROUP BY t.s1_id) o ON o.s1_id = e.s1_id
+  LEFT JOIN (SELECT d.s1_id, bool_or(d.y = 0 AND f.nm_exact = 1) AS near, count(*) AS k FROM scored d JOIN feats f ON f.s1_id = d.s1_id AND f.c_id = d.c_id GROUP BY d.s1_id) n ON n.s1_id = e.s1_id"""),
               ("lab", "SELECT CAST(n_chars AS DOUBLE) AS p, quality AS y FROM labels JOIN documents USING (doc_id)")]
     text = ",\n".join(f"{n} AS MATERIALIZED ({q})" if n in ("base", "fin", "keys", "votes", "pairs", "feats", "scored", "owned", "chosen", "sel") else f"{n} AS ({q})" for n, q in chain)
     return {name: f"WITH {text}\n{end}" for name, end in _endings().items()}

@@ -28,6 +28,53 @@ STAGE1 = ["num_p_in", "num_p_first", "num_frac1", "num_frac2", "num_logdiff", "n
 RIVALS = ["p1", "e_rank", "e_n", "e_sum", "e_sib", "e_max", "e_rel", "e_margin", "c_rank", "c_n", "c_max", "c_margin", "coh_p", "coh_num", "coh_nm", "coh_ad"]
 
 
+def rivalry(d: DataFrame, cand: DataFrame, p: str, prefix: str = "") -> DataFrame:
+    """``d`` with competition and coherence features of the scores ``p``, their names led by ``prefix``."""
+    made = [c for c in RIVALS if c != "p1"]
+    had = [c for c in made if c in d.columns]  # an earlier stage's, put aside
+    out = d.withColumnsRenamed({c: f"_{c}" for c in had})
+    out = features.coherence(features.competition(features.look_alike(out), p), cand, p).drop("anchor_id")
+    return out.withColumnsRenamed({c: prefix + c for c in made}).withColumnsRenamed({f"_{c}": c for c in had})
+
+
+def three_stages(pairs: DataFrame, cand: DataFrame, cfg: Config = Config(), save=lambda d, name: d, extra: DataFrame | None = None, extra_cand: DataFrame | None = None,
+                 roles: tuple[str, ...] = ("TRAIN",), path: str | None = None) -> DataFrame:
+    """Scores p1, p2, p of all ``pairs`` (labelled, with all features): pairwise evidence, then rivals read from p1, then rivals
+    read again from p2 (``cfg.model.stages`` of them).
+
+    Pairs of entities of ``roles`` train; they are scored out of fold, all others by the model of all of them. ``extra`` is
+    a further block of labelled pairs (synthetic, pseudo-labelled) with its records ``extra_cand``; it trains only. With
+    ``path``, every stage's model is written there. ``save`` (DataFrame, name) -> DataFrame cuts the lineage by a table."""
+    learn = model.role(F.col("s1_id"), cfg.split).isin(*roles)
+    d = pairs.withColumn("_real", F.lit(True)).withColumn("_learn", learn)
+    everyone = cand
+    if extra is not None:
+        d = d.unionByName(extra.withColumn("_real", F.lit(False)).withColumn("_learn", F.lit(True)), allowMissingColumns=True)
+        everyone = cand.unionByName(extra_cand, allowMissingColumns=True)
+    names, had = list(STAGE1), None
+    for stage in range(1, cfg.model.stages + 1):
+        fitted = model.fit(d.filter("_learn"), names, cfg.model, seed=cfg.model.seed + 100 * stage)
+        if path:
+            model.save_model(fitted, f"{path}/stage{stage}")
+        seen = model.out_of_fold(d.filter("_learn"), names, cfg.model)
+        out = f"p{stage}"
+        d = save(seen.unionByName(model.predict(fitted, d.filter("not _learn"))).withColumnRenamed("p", out), f"stage{stage}")
+        if stage < cfg.model.stages:
+            prefix = "" if stage == 1 else "s3_"
+            d = save(rivalry(d.drop("sib"), everyone, out, prefix), f"rivals{stage}")
+            names = names + ([out] if stage == 1 else []) + [prefix + x for x in RIVALS if x != "p1"]
+        had = out
+    return d.filter("_real").withColumn("p", F.col(had)).drop("_real", "_learn")
+
+
+def routed(base: DataFrame, other: DataFrame | None, labelled: list[str], weight: float) -> DataFrame:
+    """Scores of two model sets over the same pairs, by country: labelled ones have the first's, the rest the mixture."""
+    if other is None or weight == 0:
+        return base
+    both = base.withColumnRenamed("p", "p_base").join(other.select("s1_id", "c_id", F.col("p").alias("p_other")), ["s1_id", "c_id"])
+    return model.blend(both, labelled, "p_base", "p_other", weight).drop("p_base", "p_other")
+
+
 def two_stages(pairs: DataFrame, cand: DataFrame, cfg: Config = Config(), save=lambda d, name: d) -> DataFrame:
     """Out-of-fold scores, rival features from them, a second out-of-fold model on both, isotonic calibration.
 
@@ -50,6 +97,64 @@ def evaluate(decided: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
     return metrics.per_entity(decided.filter("selected"), truth, s1.select(F.col("entity_id").alias("s1_id")))
 
 
+def tuned_floor(scored: DataFrame, truth: DataFrame, s1: DataFrame, split=None, grid=(0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)) -> DataFrame:
+    """(floor, f): the floor of the highest macro F0.5 over the VALID entities, the lowest on ties. Keep it for the decision."""
+    only = s1.filter(model.role(F.col("entity_id"), split or Config().split) == "VALID")
+    held = scored.join(only.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
+    known = truth.join(only.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
+    return grid_floor(held, known, only, grid).orderBy(F.desc("f"), "floor").limit(1)
+
+
+def described(per: DataFrame, s1: DataFrame, pairs: DataFrame, truth: DataFrame, cand: DataFrame) -> DataFrame:
+    """``per`` (an entity a row) with what its slices are: country, singleton, look-alike among the candidates (``pairs``: s1_id,
+    y, alike), unusual name or empty address among the true records (flags of ``cand``), number of candidates."""
+    flags = cand.select(F.col("entity_id").alias("c_id"), (F.col("f_pseudo") | F.col("f_alias") | F.col("f_url") | F.col("f_script")).alias("odd"), F.col("f_empty_addr").alias("bare"))
+    own = truth.join(flags, "c_id").groupBy("s1_id").agg(F.max("odd").alias("unusual_name"), F.max("bare").alias("empty_address"))
+    near = pairs.groupBy("s1_id").agg(F.max((F.col("y") == 0) & (F.col("alike") == 1)).alias("look_alike"), F.count("*").alias("n"))
+    d = per.join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").join(own, "s1_id", "left").join(near, "s1_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    some = F.when(n == 0, "0").when(n <= 3, "1-3").when(n <= 6, "4-6").when(n <= 10, "7-10").when(n <= 20, "11-20").otherwise(">20")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    return d.select(*per.columns, "country", (F.col("n_gt") == 0).alias("singleton"), no("look_alike"), no("unusual_name"), no("empty_address"), some.alias("candidates"))
+
+
+SLICES = ["country", "singleton", "look_alike", "unusual_name", "empty_address", "candidates"]
+
+
+def best_cut(d: DataFrame, cuts: dict[str, object], truth: DataFrame, entities: DataFrame) -> str:
+    """The name of the cut (name -> condition on ``d``) with the highest macro F0.5 over ``entities``, the first on ties."""
+    best, top = "", -1.0
+    for name, cut in cuts.items():
+        f = metrics.summary(metrics.per_entity(d.filter(cut), truth, entities)).first().f or 0.0
+        if f > top:
+            best, top = name, f
+    return best
+
+
+def systems(d: DataFrame, truth: DataFrame, s1: DataFrame, cand: DataFrame, cfg: Config = Config(), role: str = "VALID", floor: float = 0.0) -> DataFrame:
+    """(system, slice, value, entities, f, …): a fuzzy rule, the first stage by threshold and by lists, the second by threshold, and
+    the last stage with lists and fill, over the entities of ``role``. Cuts are chosen on TRAIN entities alone.
+
+    ``d``: pairs with p1, p2, p, y, rank and features."""
+    who = s1.select(F.col("entity_id").alias("s1_id"), model.role(F.col("entity_id"), cfg.split).alias("role"))
+    train, held = (who.filter(F.col("role") == x).select("s1_id") for x in ("TRAIN", role))
+    known = lambda x: truth.join(x, "s1_id", "left_semi")
+    own = d.join(train, "s1_id", "left_semi")
+    rules = {f"name>={a} address>={b}": (F.col("nm_tset") >= a) & (F.col("ad_tset") >= b) for a in (70, 80, 90) for b in (60, 80)}
+    cuts = {f"p1>={t}": F.col("p1") >= t for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)}
+    b0, b1 = best_cut(own, rules, known(train), train), best_cut(own, cuts, known(train), train)
+    here = d.join(held, "s1_id", "left_semi")
+    chosen = {f"B0 rule {b0}": here.filter(rules[b0]), f"B1 first stage {b1}": here.filter(cuts[b1]), "B2 first stage, lists": decide.decide(here, "p1", 0.0, 0.0).filter("selected"),
+              "B3 second stage p2>=0.5": here.filter("p2 >= 0.5"), "FINAL last stage, lists and fill": decide.decide(here, "p", floor, cfg.decide.fill_min_prob).filter("selected")}
+    alike = here.select("s1_id", "y", (F.col("nm_tset") >= 90).cast("int").alias("alike"))
+    out = None
+    for name, picked in chosen.items():
+        per = described(metrics.per_entity(picked, known(held), held), s1, alike, truth, cand)
+        row = metrics.slices(per, SLICES).select(F.lit(name).alias("system"), "*")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def grid_floor(scored: DataFrame, truth: DataFrame, s1: DataFrame, grid=(0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """(floor, f): macro F0.5 of the owner-and-prefix decision for each floor; the prefix is found once for all floors."""
     kept = decide.select(decide.owner(scored)).filter("selected").select("s1_id", "c_id", "p")

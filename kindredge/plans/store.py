@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder is set only where there is none."""
+    """spark.checkpoint.dir, or a checkpoint folder set before. Without either, a local master gets a temporary folder; a
+    cluster is an error, as its executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        root = tempfile.mkdtemp(prefix="kindredge-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindredge-"))
+    return shared_dir(spark)
 
 
 def save(df: DataFrame, name: str = "table") -> DataFrame:

@@ -50,7 +50,8 @@ def match_lists(s1: DataFrame, pairs: DataFrame, column: str = "matched_entity_i
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
-    lists.repartition(1).sortWithinPartitions("source1_entity_id").write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
+    """Tab-separated parts in order of the entities, by ranges: no single task writes them all."""
+    lists.repartitionByRange("source1_entity_id").sortWithinPartitions("source1_entity_id").write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: list[str] | None = None) -> None:
@@ -59,6 +60,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: list[str]
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_report(d: DataFrame, path: str, kind: str = "csv") -> None:
+    """A small table (a summary) as one CSV file with a header, or as JSON lines."""
+    writer = d.coalesce(1).write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+
+
 # Records derived from the star schema. The same text runs in Spark and in DuckDB: {name} stands for a table.
 S1_SQL = """
 SELECT concat('S1-', c_custkey) AS entity_id,

@@ -1,5 +1,8 @@
 import importlib.util
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -7,8 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kindredge import catalog, config, oracle
-from kindredge.operators import evidence, model, synth
+from kindredge.operators import blocking, evidence, features, model, normalize, synth
 from kindredge.plans import linkage
+from kindredge.plans.store import save
 from kindredge.sources import records
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,7 +42,7 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n in entry.queries() if n.startswith("er_")} - set(entry.oracle_sql()) == {"er_url_segments", "er_string_scores", "er_noise_rates", "er_synthetic"}
+    assert {n for n in entry.queries() if n.startswith("er_")} - set(entry.oracle_sql()) == {"er_url_segments", "er_string_scores", "er_noise_rates", "er_synthetic", "er_trained"}
 
 
 def test_entry(spark):
@@ -67,28 +71,89 @@ def test_config(tmp_path):
         model.role(F.lit("a"), config.Split(0.5, 0.5, 0.5))
 
 
-def test_two_stage_model(spark, sf):
-    truth, (one, two) = catalog._truth(spark, sf), catalog._final(spark, sf)
-    d = linkage.labelled(catalog._features(spark, sf, True), truth).cache()
-    cfg = config.Config(model=config.Model(trees=4, depth=3))
-    from kindredge.plans.store import save
-    scored = linkage.two_stages(d, two, cfg, save)
-    r = scored.agg(F.avg(F.when(F.col("y") == 1, F.col("p"))).alias("a"), F.avg(F.when(F.col("y") == 0, F.col("p"))).alias("b"), F.min("p").alias("lo"), F.max("p").alias("hi")).first()
-    assert r.a > 0.8 > 0.4 > r.b and 0 <= r.lo <= r.hi <= 1
-    d.unpersist()
+def test_three_stage_model(spark, sf, tmp_path):
+    """Stages, tuned floor, systems by slices, models written and read."""
+    r, cfg = catalog.Run(spark, sf), config.Config(model=config.Model(trees=3, depth=3))
+    d = save(linkage.labelled(r.features(True), r.truth), "features")
+    scored = save(linkage.three_stages(d, r.final[1], cfg, save, path=str(tmp_path / "models")), "scored")
+    assert scored.count() == d.count() and {"p1", "p2", "p3", "p", "coh_nm", "s3_e_max"} <= set(scored.columns)
+    x = scored.agg(F.avg(F.when(F.col("y") == 1, F.col("p"))).alias("a"), F.avg(F.when(F.col("y") == 0, F.col("p"))).alias("b"), F.min("p").alias("lo"), F.max("p").alias("hi")).first()
+    assert x.a > 0.8 > 0.4 > x.b and 0 <= x.lo <= x.hi <= 1
+    floor = linkage.tuned_floor(scored, r.truth, r.records[0], cfg.split).first()
+    assert 0 <= floor.floor <= 0.5 and 0.5 < floor.f <= 1
+    got = {(v.system.split()[0], v.slice, v.value): v for v in linkage.systems(scored, r.truth, r.records[0], r.final[1], cfg, "TEST", floor.floor).collect()}
+    assert {k[0] for k in got} == {"B0", "B1", "B2", "B3", "FINAL"} and {k[1] for k in got} >= {"ALL", "country", "candidates", "look_alike"}
+    assert got["FINAL", "ALL", ""].f >= got["B0", "ALL", ""].f and got["FINAL", "ALL", ""].entities == sum(v.entities for k, v in got.items() if k[:2] == ("FINAL", "country"))
+    fitted = model.load_model(str(tmp_path / "models" / "stage1"))
+    again = model.predict(fitted, d, "q").agg(F.avg("q")).first()[0]
+    assert 0 < again < 1 and sum(model.importance(fitted).values()) == pytest.approx(1)
+    with pytest.raises(KeyError):
+        model.predict(fitted, d.drop("votes"))
+
+
+def test_extra_blocks_train_only(spark, sf):
+    """A synthetic and a pseudo-labelled block train beside the real pairs; routed scores use them by country."""
+    r, cfg = catalog.Run(spark, sf), config.Config(model=config.Model(trees=2, depth=3, stages=2))
+    real = r.records[0].drop("num")
+    made = synth.generate(real, synth.Profile(rates={"typo": 0.3, "reorder": 0.3}), max_entities=60)
+    two = save(normalize.finalize(normalize.base(made.drop("origin_id", "is_decoy"))), "made")
+    pairs = features.pair_features(blocking.generate(r.final[0], two), r.final[0], two)
+    truth = made.filter("not is_decoy").select(F.col("origin_id").alias("s1_id"), F.col("entity_id").alias("c_id"))
+    extra = save(linkage.labelled(pairs, truth), "extra")
+    assert extra.filter("y = 1").count() > 30
+    d = save(linkage.labelled(r.features(True), r.truth), "features")
+    base, other = (save(linkage.three_stages(d, r.final[1], cfg, save, extra=e, extra_cand=None if e is None else two), "scored") for e in (None, extra))
+    assert base.count() == other.count() == d.count() and other.filter("c_id like '%SYN%'").count() == 0
+    mixed = linkage.routed(base, other, ["ASIA"], 0.5)
+    j = mixed.select("s1_id", "c_id", "country", "p").join(base.select("s1_id", "c_id", F.col("p").alias("b")), ["s1_id", "c_id"]).join(other.select("s1_id", "c_id", F.col("p").alias("o")), ["s1_id", "c_id"])
+    assert all(abs(x.p - (x.b if x.country == "ASIA" else (x.b + x.o) / 2)) < 1e-9 for x in j.collect())
+    table = model.compare(d.filter("y is not null"), linkage.STAGE1, d, cfg.model, ("logistic", "gbt")).collect()
+    assert [x.kind for x in table] == ["logistic", "gbt"] and all(x.auc > 0.8 and x.log_loss < 0.7 for x in table)
+
+
+def test_command_line_runs_all_steps(spark, sf, tmp_path):
+    from kindredge.__main__ import run
+
+    s1, cand = records.derived(spark, sf)
+    raw = ["entity_id", "business_name", "business_address", "country"]
+    for split in ("train", "test"):
+        (tmp_path / split).mkdir()
+        for n, d in ((1, s1), (2, cand.filter("entity_id like 'S2%'")), (3, cand.filter("entity_id like 'S3%'"))):
+            rows = [tuple(x) for x in d.select(*raw).collect()]
+            (tmp_path / split / f"{split}_source{n}.tsv").write_text("\t".join(raw) + "\n" + "".join("\t".join(x) + "\n" for x in rows), encoding="utf-8")
+    lists = records.match_lists(s1, cand.filter("not is_decoy").select(F.col("origin_id").alias("s1_id"), F.col("entity_id").alias("c_id"))).collect()
+    (tmp_path / "train" / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"{a}\t{b}\n" for a, b in lists), encoding="utf-8")
+    cfg = config.Config(model=config.Model(trees=2, depth=3, stages=2), normalise=config.Normalise(component_min_count=5))
+    took = run(spark, "all", str(tmp_path), str(tmp_path / "work"), cfg)
+    assert list(took) == ["prepare", "block", "train", "validate", "test", "predict"]
+    out = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "work" / "output" / "matched"))
+    assert out.count() == s1.count() and out.filter("matched_entity_ids is not null").count() > 100
+
+
+def test_without_training_data_operators(tmp_path):
+    """The entry imports without the subpackage; an error inside it is not hidden."""
+    for name in ("kindredge", "__spark_entry__.py"):
+        src = os.path.join(os.path.dirname(entry.__file__), name)
+        (shutil.copytree if os.path.isdir(src) else shutil.copy)(src, tmp_path / name)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(len([n for n in e.queries() if n.startswith('op')]))"]
+    (tmp_path / "kindredge" / "llm" / "registry.py").write_text("import no_such_module\n") if (tmp_path / "kindredge" / "llm").is_dir() else None
+    if (tmp_path / "kindredge" / "llm").is_dir():
+        assert subprocess.run(ask, cwd=tmp_path, capture_output=True).returncode != 0
+        shutil.rmtree(tmp_path / "kindredge" / "llm")
+    assert subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True).stdout.strip() == "0"
 
 
 def test_generator_and_reasons(spark, sf):
     s1, _ = records.derived(spark, sf)
-    profile = {"typo": 0.5, "alias": 0.2, "url": 0.2, "num_inject": 0.3}
-    a, b = (sorted(tuple(r) for r in synth.generate(s1.repartition(n), profile).collect()) for n in (1, 5))
-    assert a == b and any(x[5] for x in a) and {x[0][:2] for x in a} == {"S2", "S3"}
     rates = catalog.er_noise_rates(spark, sf).first().asDict()
     assert len(rates) == 17 and rates["alias"] > 0 and rates["upper_name"] > 0 and rates["empty_addr"] > 0
-    row = dict(nm_tset=90.0, selected=False, rival_id=None, num_p_in=0.0, num_logdiff=2.0, num_frac1=0.0, num_frac2=0.0, num_drop=0.0, tok_diff=1, c_f_pseudo=0, c_f_url=0, c_f_script=0, c_f_empty_addr=0, c_f_alias=0, loc_overlap=None, e_sib=1)
-    schema = ", ".join(f"{k} {'boolean' if k == 'selected' else 'string' if k == 'rival_id' else 'double' if isinstance(v, float) or v is None else 'int'}" for k, v in row.items())
+    row = dict(nm_tset=90.0, selected=False, rival_id=None, num_p_in=0.0, num_logdiff=2.0, num_frac1=0.0, num_frac2=0.0, num_drop=0.0, tok_diff=1, c_f_pseudo=0, c_f_url=0, c_f_script=0, c_f_empty_addr=0, c_f_alias=0, loc_overlap=None, e_sib=1, s1_addr="12 Willow Road", c_addr="19 Willow Road")
+    schema = ", ".join(f"{k} {'boolean' if k == 'selected' else 'string' if k in ('rival_id', 's1_addr', 'c_addr') else 'double' if isinstance(v, float) or v is None else 'int'}" for k, v in row.items())
     got = spark.createDataFrame([tuple(row.values())], schema).select(evidence.reasons().alias("r")).first().r
-    assert got[0].startswith("- same name, another house number") and any("further word" in x for x in got)
+    assert got[0] == "- number 12 is absent, the record has 19 instead: the sign of a look-alike" and any("further word" in x for x in got)
+    row |= dict(selected=True, num_p_in=1.0, num_frac1=0.5, nm_tset=96.0, tok_diff=0, c_addr="12 Willow Road")
+    got = spark.createDataFrame([tuple(row.values())], schema).select(evidence.reasons().alias("r")).first().r
+    assert got == ["+ the record has the house number", "- only 50% of the address's numbers are there", "+ same name", "+ beats 1 look-alikes of this entity by the house number"]
 
 
 @pytest.mark.skipif(importlib.util.find_spec("kindredge.llm") is None, reason="the subpackage is optional")
