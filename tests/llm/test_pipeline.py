@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import partial
 
 import pytest
 
@@ -34,7 +35,8 @@ def corpus(spark, tmp_path_factory):
         words[len(words) // 2] = "changed"
         rows.append((d, " ".join(words)))
         labels.append((d, labels[d - 240][1], 0))
-    rows += [(300, ""), (301, "short and clean words here"), (302, "long " * 3000)]
+    rows += [(300, ""), (301, "short and clean words here"), (302, "long " * 3000), (303, rows[0][1]), (304, rows[1][1])]
+    labels += [(303, labels[0][1], 0), (304, labels[1][1], 0)]
     write = lambda data, schema, name: spark.createDataFrame(data, schema).write.parquet(f"{root}/{name}.parquet")
     write([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long", "documents")
     write(labels, "doc_id long, quality int, toxic int", "labels")
@@ -58,8 +60,9 @@ def test_stages_in_turn(spark, corpus):
     assert set(texts(kept)) == want and 0.5 < len(want) / len(rows) < 0.95
 
     before, lined = texts(kept), written(P.lines(spark, kept, root))
-    gone = {p[1:] for p, _, first, _ in line_classes(list(before.items()), 1, 32) if p != first}
-    assert texts(lined) == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in before.items()}
+    gone = {p[1:] for p, _, first, _ in line_classes(list(before.items())) if p != first}
+    left = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in before.items()}
+    assert texts(lined) == {d: t for d, t in left.items() if t.strip() or not before[d].strip()} and len(texts(lined)) < len(before)
     assert all(x.n_chars == len(x.text) for x in lined.collect())
 
     before, single = texts(lined), written(P.near(spark, lined, root))
@@ -77,3 +80,39 @@ def test_run_chains_the_stages(spark, corpus):
     out = P.run(spark, corpus[0])
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, gone string, row int, kept int, emptied int, score double, predicted int"
+
+
+def test_stages_with_nulls_repeats_and_clashing_names(spark, corpus, monkeypatch):
+    """No stage crashes, and rows that share a doc_id, or have none, are not mistaken for each other."""
+    from kindredge.llm import quality
+
+    monkeypatch.setattr(quality, "fit", partial(quality.fit, steps=60))
+    root, rows, items = corpus
+    more = ("en", "s", 1, "g", 1, 1, 1, 0.5, 1)
+    good = [t for _, t in rows[:40] if not t.isupper() and "!!" not in t][:4]
+    data = [(None, None, *more), (None, "", *more), (None, good[0], *more), (None, "another text without an id, quite its own", *more), (7, good[1], *more), (7, f"own line of the second row with this id\n{good[0]}", *more), (7, good[1], *more), (8, items[0][1], *more)]
+    data += [(i, None, None, None, None, None, None, None, None, None, None) for i in (20, 20, 21)]
+    docs = spark.createDataFrame(data, AWKWARD)
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, docs, root)
+        assert out.columns == P.COLUMNS and 0 < out.count() <= len(data)
+    none = spark.createDataFrame([], AWKWARD)
+    assert P.lines(spark, none, root).count() == 0 and P.decontaminate(spark, none, root).count() == 0 and P.packing(spark, none, root).count() == 0
+    lined = [x.text for x in P.lines(spark, docs, root).collect()]
+    assert any(t and t.startswith("own line of the second row") for t in lined) and "another text without an id, quite its own" in lined
+    assert {x.doc_id for x in P.decontaminate(spark, docs, root).collect()} == {None, 7, 20, 21}
+    assert P.packing(spark, docs, root).count() >= len(data)
+
+
+def test_release_leaves_other_results_alone(spark, corpus):
+    """A lazy result that a caller holds outlives the stages of the pipeline."""
+    from kindredge.llm.near_dedup import near_duplicates
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    held = near_duplicates(docs)
+    P.lines(spark, docs.selectExpr("*", "'en' lang", "'s' source", "1L n_chars"), corpus[0]).count()
+    P.decontaminate(spark, docs.selectExpr("*", "'en' lang", "'s' source", "1L n_chars"), corpus[0]).count()
+    assert held.filter("kept").count() == 2

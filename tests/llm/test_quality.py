@@ -18,7 +18,7 @@ def test_chunks_cover_everything():
         assert seen[:n].all()
 
 
-def test_gradient_step_matches_differences():
+def test_logits_match_a_naive_network():
     r = np.random.default_rng(1)
     chunks = r.integers(0, 256, (4, Q.CHUNK)).astype(np.uint16)
     model = Q.initial()
@@ -31,6 +31,42 @@ def test_gradient_step_matches_differences():
     assert np.allclose(Q.logits(model, chunks), naive, atol=1e-3)
 
 
+def test_gradients_match_differences():
+    r = np.random.default_rng(3)
+    chunks = r.integers(0, 256, (3, Q.CHUNK)).astype(np.uint16)
+    chunks[2, 100:] = Q.PAD
+    y = np.array([1.0, 0.0, 1.0])
+    model = {k: v.astype(np.float64) + r.standard_normal(v.shape) * 0.05 for k, v in Q.initial().items()}
+    model["embed"][Q.PAD] = 0
+
+    def loss(m):
+        frames = Q._frames(m, chunks)
+        pooled = (frames @ m["conv"]).reshape(3, Q.FRAMES, Q.FILTERS).max(1) + m["conv_b"]
+        hidden = np.maximum(np.hstack((np.maximum(pooled, 0), Q._fill(chunks))) @ m["dense"] + m["dense_b"], 0)
+        z = hidden @ m["out"] + m["out_b"]
+        return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
+
+    grad = Q.gradients(model, chunks, y)
+    for name, g in grad.items():
+        flat = np.flatnonzero(np.abs(g).ravel() > np.abs(g).max() * 0.05)
+        for at in r.choice(flat, min(6, len(flat)), replace=False):
+            moved = []
+            for step in (1e-6, -1e-6):
+                m = {k: v.copy() for k, v in model.items()}
+                m[name].reshape(-1)[at] += step
+                moved.append(loss(m))
+            assert abs((moved[0] - moved[1]) / 2e-6 - g.reshape(-1)[at]) < 1e-4 + 0.02 * abs(g.reshape(-1)[at]), name
+
+
+def test_sample_counts_repeated_rows_once(spark):
+    rows = [(i, "some good words " * (1 + i % 5)) for i in range(50)] + [(3, "some good words " * 4)] * 200 + [(9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learn = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = Q._sample(docs, learn, 30, 1 << 20).collect()
+    assert len(got) == 51 and sum(x.text == "" for x in got) == 1
+    assert sum(len(x.text) for x in Q._sample(docs, learn, 30, 300).collect()) <= 600
+
+
 def test_learns_from_training_rows_only(spark):
     r = random.Random(2)
     rows, labels = [], []
