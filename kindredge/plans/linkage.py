@@ -98,11 +98,11 @@ def evaluate(decided: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
 
 
 def tuned_floor(scored: DataFrame, truth: DataFrame, s1: DataFrame, split=None, grid=(0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)) -> DataFrame:
-    """(floor, f): the floor of the highest macro F0.5 over the VALID entities, the lowest on ties. Keep it for the decision."""
+    """(floor, f): the floor of the highest macro F0.5 over the VALID entities, the lowest on ties. Keep it for the decision.
+
+    Records find their owner among all entities, as in the decision; only what is measured is confined to VALID ones."""
     only = s1.filter(model.role(F.col("entity_id"), split or Config().split) == "VALID")
-    held = scored.join(only.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
-    known = truth.join(only.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
-    return grid_floor(held, known, only, grid).orderBy(F.desc("f"), "floor").limit(1)
+    return grid_floor(scored, truth, only, grid).orderBy(F.desc("f"), "floor").limit(1)
 
 
 def described(per: DataFrame, s1: DataFrame, pairs: DataFrame, truth: DataFrame, cand: DataFrame) -> DataFrame:
@@ -156,7 +156,8 @@ def systems(d: DataFrame, truth: DataFrame, s1: DataFrame, cand: DataFrame, cfg:
 
 
 def grid_floor(scored: DataFrame, truth: DataFrame, s1: DataFrame, grid=(0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """(floor, f): macro F0.5 of the owner-and-prefix decision for each floor; the prefix is found once for all floors."""
+    """(floor, f): macro F0.5 over ``s1`` of the owner-and-prefix decision over all of ``scored``, for each floor; the prefix is found
+    once for all floors."""
     kept = decide.select(decide.owner(scored)).filter("selected").select("s1_id", "c_id", "p")
     hit = labelled(kept, truth).withColumn("floor", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).filter(F.col("p") >= F.col("floor"))
     got = hit.groupBy("floor", "s1_id").agg(F.sum("y").alias("tp"), F.count("*").alias("n_pred"))

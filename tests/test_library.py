@@ -71,6 +71,16 @@ def test_config(tmp_path):
         model.role(F.lit("a"), config.Split(0.5, 0.5, 0.5))
 
 
+def test_floor_is_tuned_on_the_decision_over_all_entities(spark):
+    """A record that an entity outside VALID owns counts for no VALID entity, whatever the floor."""
+    role = {r.id: r.role for r in spark.range(200).select(F.concat(F.lit("S1-"), "id").alias("id")).select("id", model.role(F.col("id"), config.Split()).alias("role")).collect()}
+    held, other = (min(k for k, v in role.items() if (v == "VALID") == valid) for valid in (True, False))
+    s1 = spark.createDataFrame([(held,), (other,)], "entity_id string")
+    scored = spark.createDataFrame([(held, "S2-1", 0.6, 0), (other, "S2-1", 0.9, 0), (held, "S3-2", 0.7, 0)], "s1_id string, c_id string, p double, rank int")
+    truth = spark.createDataFrame([(other, "S2-1"), (held, "S3-2")], "s1_id string, c_id string")
+    assert tuple(linkage.tuned_floor(scored, truth, s1).first()) == (0.0, 1.0)
+
+
 def test_three_stage_model(spark, sf, tmp_path):
     """Stages, tuned floor, systems by slices, models written and read."""
     r, cfg = catalog.Run(spark, sf), config.Config(model=config.Model(trees=3, depth=3))
