@@ -56,7 +56,7 @@ class Run:
 
     @cached_property
     def pairs(self):
-        return save(blocking.top_candidates(self.votes, CFG.blocking), "pairs")
+        return save(blocking.generate(*self.final, CFG.blocking), "pairs")
 
     def features(self, scores=False):
         return features.pair_features(self.pairs, *self.final, scores)

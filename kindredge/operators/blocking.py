@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Blocking
 from ..functions import text as T
+from ..plans import store
 
 
 def _cross(a: Column, b: Column, family: str) -> Column:
@@ -65,8 +66,20 @@ def top_candidates(v: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
     return ranked.withColumn("best", F.max("votes").over(w)).filter(F.col("votes") >= cfg.min_rel_votes * F.col("best")).withColumn("rel", F.col("votes") / F.col("best")).drop("best")
 
 
-def generate(s1: DataFrame, cand: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
-    return top_candidates(votes(keys(s1, cfg, True), keys(cand, cfg), cfg.key_cap), cfg)
+def numbered(s1: DataFrame, save=store.save) -> DataFrame:
+    """(entity_id, no): each id once with a long in the ids' order, written, so that it stays what it is."""
+    ids = s1.select("entity_id").distinct().repartitionByRange("entity_id").sortWithinPartitions("entity_id")
+    return save(ids.withColumn("no", F.monotonically_increasing_id()), "numbered")
+
+
+def generate(s1: DataFrame, cand: DataFrame, cfg: Blocking = Blocking(), save=store.save) -> DataFrame:
+    """The candidate pairs of two sides. Lists, votes and ranks hold entities by number, 8 bytes each and ordered as their ids;
+    only the pairs that are left get their ids back."""
+    numbers = numbered(s1, save)
+    one = s1.join(numbers, "entity_id").withColumn("entity_id", F.col("no")).drop("no")
+    top = top_candidates(votes(keys(one, cfg, True), keys(cand, cfg), cfg.key_cap), cfg).withColumnRenamed("s1_id", "no")
+    names = numbers.withColumnRenamed("entity_id", "s1_id")
+    return top.join(names, "no").select("c_id", "s1_id", "country", "votes", "rank", "rel")
 
 
 def recall_curve(pairs: DataFrame, truth: DataFrame, ranks=(1, 2, 3, 4, 6, 8), rels=(0.2, 0.35, 0.5)) -> DataFrame:

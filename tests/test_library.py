@@ -175,3 +175,16 @@ def test_library_does_not_import_the_subpackage():
                 if n.endswith(".py"):
                     text = open(os.path.join(folder, n), encoding="utf-8").read()
                     assert ".llm" not in text and "import llm" not in text
+
+
+def test_blocking_by_numbers_keeps_ids_and_ties(spark):
+    """Lists of blocking hold longs, in the order of the ids ("S1-10" before "S1-9"), so ties fall as among the ids."""
+    ids = [f"S1-{i}" for i in range(1, 40)]
+    s1 = spark.createDataFrame([(i, "red bolt", "12 small street, france", "EUROPE") for i in ids], records.RAW).repartition(7)
+    cand = spark.createDataFrame([(f"S2-{i}", "red bolt", "12 small street, france", "EUROPE") for i in range(5)], records.RAW)
+    one, two = (save(linkage.prepared(d), "sides") for d in (s1, cand))
+    numbers = blocking.numbered(one)
+    assert [r.entity_id for r in numbers.orderBy("no").collect()] == sorted(ids) and dict(numbers.dtypes)["no"] == "bigint"
+    got = {(r.c_id, r["rank"], r.s1_id, r.votes) for r in blocking.generate(one, two).collect()}
+    slow = blocking.top_candidates(blocking.votes(blocking.keys(one, source1=True), blocking.keys(two), 150))
+    assert got == {(r.c_id, r["rank"], r.s1_id, r.votes) for r in slow.collect()} and {x[2] for x in got if x[1] == 0} == {"S1-1"} and {x[2] for x in got if x[1] == 1} == {"S1-10"}
