@@ -2,7 +2,7 @@
 
 Equal lines are one class at any length. Beyond that, lines are joined within an edit distance, by bands: a ``Band`` says
 in which units (characters, or words between single blanks) lines are compared, how long the shorter of two lines is, and
-how many edits ``tau`` may part them. By default lines of 32 to 127 characters
+how many edits ``tau`` may part them. By default lines of 32 characters or more
 may differ by a character, and lines of 20 words or more by a whole word.
 
 Two lines within ``tau`` edits share at least one of tau + 1 segments of the shorter, unchanged and shifted by little
@@ -34,7 +34,7 @@ class Band(NamedTuple):
 
 
 WHOLE = (1 << 31) - 1
-BANDS = (Band("chars", 32, 128, 1), Band("words", 20, WHOLE, 1))
+BANDS = (Band("chars", 32, WHOLE, 1), Band("words", 20, WHOLE, 1))
 BITS = 56
 
 

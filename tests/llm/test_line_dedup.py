@@ -152,3 +152,12 @@ def test_short_repeats_are_one_class(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(x.doc_id, x.line_no): (x.class_doc_id, x.class_line_no, x.kept) for x in op3_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (2, 0): (1, 0, False), (3, 0): (3, 0, True), (3, 1): (1, 1, False)}
+
+
+def test_one_character_parts_no_line_by_its_length(spark):
+    """One edit links lines of 32 characters at any length: few long words, or a blank put into a word of many."""
+    few, many = " ".join(f"{i}{'abcdefghijklm' * 2}" for i in range(6)), " ".join(f"word{i}" for i in range(30))
+    rows = [(1, few), (2, few[:70] + "X" + few[71:]), (3, many), (4, many.replace("word17", "wo rd17"))]
+    assert min(len(x) for _, x in rows) > 128
+    got = {r.doc_id: (r.class_doc_id, r.n_links) for r in near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1)}
