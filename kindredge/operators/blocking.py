@@ -9,6 +9,9 @@ from ..config import Blocking
 from ..functions import text as T
 from ..plans import store
 
+#: Candidate records whose lists one task opens, about: its sums and ranks then fit in memory, at any size of the input.
+RECORDS = 8192
+
 
 def _cross(a: Column, b: Column, family: str) -> Column:
     return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat_ws("|", F.lit(family), x, y.cast("string")))))
@@ -48,38 +51,49 @@ def index(s1_keys: DataFrame, cap: int) -> DataFrame:
     return hashed.join(counted, "h").groupBy("h").agg((1.0 / F.log2(1.0 + F.first("n"))).alias("weight"), F.collect_list("entity_id").alias("ids"))
 
 
+def met(s1_keys: DataFrame, cand_keys: DataFrame, cap: int) -> DataFrame:
+    """(c_id, country, weight, ids): a candidate's keys met with the index, as whole lists."""
+    probe = cand_keys.select(F.xxhash64("country", "key").alias("h"), "country", F.col("entity_id").alias("c_id"))
+    return probe.join(index(s1_keys, cap), "h").select("c_id", "country", "weight", "ids")
+
+
+def summed(lists: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and votes of lists that lie by c_id: the entities are opened here, after the last exchange."""
+    return lists.withColumn("s1_id", F.explode("ids")).groupBy(*by).agg(F.round(F.sum("weight"), 9).alias("votes"))
+
+
 def votes(s1_keys: DataFrame, cand_keys: DataFrame, cap: int) -> DataFrame:
     """(c_id, s1_id, country, votes): the sum of 1 / log2(1 + n) over shared keys.
 
-    A candidate's keys meet the index as whole lists; these travel to the candidate's partition, where they are opened
-    and summed: pairs are formed after the last exchange, and what follows by record (top-k) needs none."""
-    probe = cand_keys.select(F.xxhash64("country", "key").alias("h"), "country", F.col("entity_id").alias("c_id"))
-    met = probe.join(index(s1_keys, cap), "h").select("c_id", "country", "weight", "ids").repartition("c_id")
-    hits = met.select("c_id", "country", "weight", F.explode("ids").alias("s1_id"))
-    return hits.groupBy("c_id", "s1_id", "country").agg(F.round(F.sum("weight"), 9).alias("votes"))
+    Lists travel to the candidate's partition, where they are opened and summed: pairs are formed after the last exchange,
+    and what follows by record (top-k) needs none."""
+    return summed(met(s1_keys, cand_keys, cap).repartition("c_id"), ["c_id", "s1_id", "country"])
 
 
 def top_candidates(v: DataFrame, cfg: Blocking = Blocking()) -> DataFrame:
     """Per record its best entities: rank (from 0, ties by s1_id) below ``top``, votes of a share of the best's."""
     w = Window.partitionBy("c_id")
-    ranked = v.withColumn("rank", F.row_number().over(w.orderBy(F.desc("votes"), "s1_id")) - 1).filter(F.col("rank") < cfg.top)
+    # compared as it is, so that Spark drops lower rows before it ranks
+    ranked = v.withColumn("_n", F.row_number().over(w.orderBy(F.desc("votes"), "s1_id"))).filter(F.col("_n") <= cfg.top).withColumn("rank", F.col("_n") - 1).drop("_n")
     return ranked.withColumn("best", F.max("votes").over(w)).filter(F.col("votes") >= cfg.min_rel_votes * F.col("best")).withColumn("rel", F.col("votes") / F.col("best")).drop("best")
 
 
 def numbered(s1: DataFrame, save=store.save) -> DataFrame:
-    """(entity_id, no): each id once with a long in the ids' order, written, so that it stays what it is."""
-    ids = s1.select("entity_id").distinct().repartitionByRange("entity_id").sortWithinPartitions("entity_id")
+    """(entity_id, country, no): each once with a long in the ids' order, written, so that it stays what it is."""
+    ids = s1.select("entity_id", "country").distinct().repartitionByRange("entity_id", "country").sortWithinPartitions("entity_id", "country")
     return save(ids.withColumn("no", F.monotonically_increasing_id()), "numbered")
 
 
 def generate(s1: DataFrame, cand: DataFrame, cfg: Blocking = Blocking(), save=store.save) -> DataFrame:
     """The candidate pairs of two sides. Lists, votes and ranks hold entities by number, 8 bytes each and ordered as their ids;
-    only the pairs that are left get their ids back."""
+    only the pairs that are left get their ids and country back (both sides of a key share it). The lists go to as many
+    tasks as the records need, whatever the session's number of partitions."""
     numbers = numbered(s1, save)
-    one = s1.join(numbers, "entity_id").withColumn("entity_id", F.col("no")).drop("no")
-    top = top_candidates(votes(keys(one, cfg, True), keys(cand, cfg), cfg.key_cap), cfg).withColumnRenamed("s1_id", "no")
-    names = numbers.withColumnRenamed("entity_id", "s1_id")
-    return top.join(names, "no").select("c_id", "s1_id", "country", "votes", "rank", "rel")
+    names = numbers.withColumnsRenamed({"entity_id": "s1_id", "country": "land"})
+    one = s1.join(names, (F.col("entity_id") == F.col("s1_id")) & F.col("country").eqNullSafe(F.col("land"))).drop("entity_id", "s1_id", "land").withColumnRenamed("no", "entity_id")
+    lists = met(keys(one, cfg, True), keys(cand, cfg), cfg.key_cap).drop("country").repartition(1 + cand.count() // RECORDS, "c_id")
+    top = top_candidates(summed(lists, ["c_id", "s1_id"]), cfg).withColumnRenamed("s1_id", "no")
+    return top.join(names, "no").select("c_id", "s1_id", F.col("land").alias("country"), "votes", "rank", "rel")
 
 
 def recall_curve(pairs: DataFrame, truth: DataFrame, ranks=(1, 2, 3, 4, 6, 8), rels=(0.2, 0.35, 0.5)) -> DataFrame:

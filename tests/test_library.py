@@ -1,5 +1,6 @@
 import importlib.util
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -188,3 +189,15 @@ def test_blocking_by_numbers_keeps_ids_and_ties(spark):
     got = {(r.c_id, r["rank"], r.s1_id, r.votes) for r in blocking.generate(one, two).collect()}
     slow = blocking.top_candidates(blocking.votes(blocking.keys(one, source1=True), blocking.keys(two), 150))
     assert got == {(r.c_id, r["rank"], r.s1_id, r.votes) for r in slow.collect()} and {x[2] for x in got if x[1] == 0} == {"S1-1"} and {x[2] for x in got if x[1] == 1} == {"S1-10"}
+
+
+def test_lists_go_to_as_many_tasks_as_records_need(spark, monkeypatch):
+    s1 = spark.createDataFrame([(f"S1-{i}", "red bolt", f"{i} small street, france", c) for i in range(30) for c in ("EUROPE", None)], records.RAW)
+    cand = spark.createDataFrame([(f"S2-{i}", "red bolt", f"{i} small street, france", c) for i, c in zip(range(25), ["EUROPE", None] * 13)], records.RAW)
+    one, two = (save(linkage.prepared(d), "sides") for d in (s1, cand))
+    monkeypatch.setattr(blocking, "RECORDS", 4)
+    d = blocking.generate(one, two)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(c_id#\d+, 7\), REPARTITION_BY_NUM", plan) and "WindowGroupLimit" in plan
+    slow = blocking.top_candidates(blocking.votes(blocking.keys(one, source1=True), blocking.keys(two), 150)).select(d.columns)
+    assert d.count() > 25 and not d.exceptAll(slow).head(1) and not slow.exceptAll(d).head(1)
