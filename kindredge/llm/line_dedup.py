@@ -7,7 +7,7 @@ may differ by a character, and lines of 20 words or more by a whole word.
 
 Two lines within ``tau`` edits share at least one of tau + 1 segments of the shorter, unchanged and shifted by little
 (pigeonhole principle). Every line is cut into its segments, which are hashed with its length and their number (the
-index), and into the substrings of the right lengths around the places where segments of lines up to tau shorter can lie
+index, which also meets itself), and into the other substrings of the right lengths around the places where segments of lines up to tau shorter can lie
 (the probes; only starts that can be the first or the last of several matches are kept). Equal keys give candidates,
 unless their signatures differ too much: a signature holds the parity of the line's words in 56 hashed bits, and an edit
 changes at most three words. A banded bit-parallel edit distance over one long verifies the candidates.
@@ -56,42 +56,54 @@ def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(0), F.lit(i - tau - 1) + longer), base + (F.lit(tau - i) < longer).cast("int")
 
 
-def _hashed(number: int, band: Band, length: Column, i: int, at: Column, size: Column) -> Column:
-    part = F.substring(F.col("line"), at + 1, size) if band.unit == "chars" else F.slice("words", at + 1, size)
+def _hashed(number: int, band: Band, length: Column, i: int, at: Column, size: Column, first: bool, last: bool) -> Column:
+    """Of a segment that is known to begin with the line (``first``), to end with it (``last``), or neither."""
+    if band.unit == "chars":
+        part = F.substring(F.col("line"), at + 1, size)
+    else:
+        part = F.col("line") if last else F.call_function("substring_index", F.col("line"), F.lit(" "), at + size)
+        part = part if first else F.call_function("substring_index", part, F.lit(" "), -size)
     return F.xxhash64(F.lit(number), length, F.lit(i), part)
 
 
-def _units(band: Band) -> Column:
-    return F.col("chars") if band.unit == "chars" else F.size("words")
+class Key(NamedTuple):
+    """A hash (null where the row has none), its band, and by how much the lines that it seeks are shorter."""
 
+    key: Column
+    band: int
+    gap: int
 
-def index_keys(bands: tuple[Band, ...]) -> Column:
-    """Array of (key, band, gap 0) of a row (line, chars, words): its segments, in the bands that its length belongs to."""
+
+def index_keys(bands: tuple[Band, ...]) -> list[Key]:
+    """Of a row (line, chars, n_words): its segments, in the bands that its length belongs to."""
     out = []
     for number, band in enumerate(bands):
-        n = _units(band)
+        n = F.col("chars" if band.unit == "chars" else "n_words")
         inside = (n >= band.least) & (n < band.below)
         for i in range(band.tau + 1):
             at, size = _segment(n, i, band.tau)
-            out.append(F.when(inside, F.struct(_hashed(number, band, n, i, at, size).alias("key"), F.lit(number).cast("tinyint").alias("band"), F.lit(0).cast("tinyint").alias("gap"))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+            out.append(Key(F.when(inside, _hashed(number, band, n, i, at, size, i == 0, i == band.tau)), number, 0))
+    return out
 
 
-def probe_keys(bands: tuple[Band, ...]) -> Column:
-    """Array of (key, band, gap) of a row (line, chars, words): where segments of lines by ``gap`` shorter can lie in it."""
+def probe_keys(bands: tuple[Band, ...]) -> list[Key]:
+    """Of a row (line, chars, n_words): where segments of lines by ``gap`` shorter can lie in it, but for its own segments in
+    their places, which the index holds."""
     out = []
     for number, band in enumerate(bands):
         for gap in range(band.tau + 1):
-            n, tau = _units(band), band.tau
+            n, tau = F.col("chars" if band.unit == "chars" else "n_words"), band.tau
             length = n - gap
             inside = (length >= band.least) & (length < band.below)
             for i in range(tau + 1):
                 start, size = _segment(length, i, tau)
                 for shift in range(max(-i, gap - (tau - i)), min(i, gap + tau - i) + 1):
+                    if gap == shift == 0:
+                        continue
                     at = start + shift
-                    key = F.struct(_hashed(number, band, length, i, at, size).alias("key"), F.lit(number).cast("tinyint").alias("band"), F.lit(gap).cast("tinyint").alias("gap"))
-                    out.append(F.when(inside & (at >= 0) & (at + size <= n), key))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+                    key = _hashed(number, band, length, i, at, size, i == 0 and shift == 0, i == tau and shift == gap)
+                    out.append(Key(F.when(inside & (at >= 0) & (at + size <= n), key), number, gap))
+    return out
 
 
 def word_parity() -> Column:
@@ -158,13 +170,26 @@ def _parts(line: str, unit: str) -> Column:
 def edit_links(lines: DataFrame, work: Work, bands: tuple[Band, ...] = BANDS) -> DataFrame:
     """``lines`` (line), repeated or not -> (a, b), MD5s of different lines linked in any band, each pair once."""
     distinct = lines.select("line").distinct().select("line", F.length("line").alias("chars"), F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)).alias("words"))
-    keyed = lambda keys: distinct.select(F.xxhash64("line").alias("h"), word_parity().alias("parity"), F.explode(keys).alias("k"))
-    index = keyed(index_keys(bands)).select("k.key", F.col("h").alias("a"), F.col("parity").alias("wa"))
-    probe = keyed(probe_keys(bands)).select("k.key", "k.band", "k.gap", F.col("h").alias("b"), F.col("parity").alias("wb"))
-    edits = F.element_at(F.array(*[F.lit(3 * x.tau) for x in bands]), probe["band"] + 1)
+
+    def keyed(keys: list[Key]) -> DataFrame:
+        """A row a key. The hashes are columns of a projection, which Spark compiles; within a higher-order function it would not."""
+        d = distinct.select("line", "chars", F.size("words").alias("n_words"), word_parity().alias("parity"))
+        d = d.select(F.xxhash64("line").alias("h"), "parity", F.array(*[k.key for k in keys]).alias("keys"))
+        d = d.select("h", "parity", F.posexplode("keys").alias("at", "key")).filter("key is not null")
+        of = lambda values: F.element_at(F.array(*[F.lit(x).cast("tinyint") for x in values]), F.col("at") + 1)
+        return d.select("key", "h", "parity", of(k.band for k in keys).alias("band"), of(k.gap for k in keys).alias("gap"))
+
+    index = keyed(index_keys(bands)).drop("gap")
+    held = index.select("key", "band", F.col("h").alias("a"), F.col("parity").alias("wa"))
+    other = lambda d: d.withColumnsRenamed({"h": "b", "parity": "wb"})
+    edits = F.element_at(F.array(*[F.lit(3 * x.tau) for x in bands]), F.col("band") + 1)
     alike = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= edits
-    once = (index["a"] != probe["b"]) & ((probe["gap"] > 0) | (index["a"] < probe["b"]))
-    pairs = index.join(probe, (index["key"] == probe["key"]) & once & alike).select("a", "b", "band").distinct()
+    # the index meets itself (its exchange is used again: both sides hold the same columns), then the probes
+    pairs = held.join(other(index), ["key", "band"]).filter((F.col("a") < F.col("b")) & alike).select("a", "b", "band")
+    if probes := probe_keys(bands):
+        once = (F.col("a") != F.col("b")) & ((F.col("gap") > 0) | (F.col("a") < F.col("b")))
+        pairs = pairs.union(held.join(other(keyed(probes)), ["key", "band"]).filter(once & alike).select("a", "b", "band"))
+    pairs = pairs.distinct()
     pairs = work.save(pairs, "pairs")
     needed = work.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
     texts = lines.select(F.xxhash64("line").alias("h"), "line").join(maybe_broadcast(needed, needed.count()), "h", "left_semi")
@@ -228,10 +253,9 @@ def drop_lines(docs: DataFrame, bands: tuple[Band, ...] = BANDS) -> DataFrame:
     work = Work(docs.sparkSession, "gone")
     gone = _classed(docs, work, bands).filter(~F.col("first").eqNullSafe(F.col("place")))
     gone = work.save(gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
-    size = gone.agg(F.sum(F.size("gone") + 3)).first()[0] or 0
     names = [c for c in docs.columns if c != "emptied"]
     whole = docs.select(F.struct(*names).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"))
-    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("other"), F.col("row").alias("other_row"), "gone"), size)
+    gone = gone.select(F.col("doc_id").alias("other"), F.col("row").alias("other_row"), "gone")
     joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("row") == F.col("other_row")), "left")
 
     def left(lines: Column) -> Column:

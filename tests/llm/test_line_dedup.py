@@ -161,3 +161,14 @@ def test_one_character_parts_no_line_by_its_length(spark):
     assert min(len(x) for _, x in rows) > 128
     got = {r.doc_id: (r.class_doc_id, r.n_links) for r in near_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1)}
+
+
+def test_own_segments_are_hashed_and_exchanged_once(spark):
+    """Lines of one length meet through the index alone: no probe repeats its keys, and its exchange serves all its joins."""
+    from kindredge.llm.line_dedup import index_keys, probe_keys
+
+    lines = spark.createDataFrame([("some words " * 30 + str(i) * 3,) for i in range(3)], "line string")
+    rows = lines.select("line", F.length("line").alias("chars"), F.size(F.split("line", " ")).alias("n_words"))
+    for bands in (BANDS, (Band("chars", 8, WHOLE, 2), Band("words", 3, WHOLE, 2))):
+        for row in rows.select(F.array(*[k.key for k in index_keys(bands)]), F.array(*[k.key for k in probe_keys(bands)])).collect():
+            assert len(set(row[0])) == len(row[0]) and not set(row[0]) & set(row[1])
