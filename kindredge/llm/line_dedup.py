@@ -172,23 +172,24 @@ def edit_links(lines: DataFrame, work: Work, bands: tuple[Band, ...] = BANDS) ->
     distinct = lines.select("line").distinct().select("line", F.length("line").alias("chars"), F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)).alias("words"))
 
     def keyed(keys: list[Key]) -> DataFrame:
-        """A row a key. The hashes are columns of a projection, which Spark compiles; within a higher-order function it would not."""
+        """A row a key. The hashes are columns of a projection, which Spark compiles; within a higher-order function it would not. (Without "outer", it would
+        make the arrays a second time, of all lines, to see that they are not empty.)"""
         d = distinct.select("line", "chars", F.size("words").alias("n_words"), word_parity().alias("parity"))
         d = d.select(F.xxhash64("line").alias("h"), "parity", F.array(*[k.key for k in keys]).alias("keys"))
-        d = d.select("h", "parity", F.posexplode("keys").alias("at", "key")).filter("key is not null")
+        d = d.select("h", "parity", F.posexplode_outer("keys").alias("at", "key")).filter("key is not null")
         of = lambda values: F.element_at(F.array(*[F.lit(x).cast("tinyint") for x in values]), F.col("at") + 1)
         return d.select("key", "h", "parity", of(k.band for k in keys).alias("band"), of(k.gap for k in keys).alias("gap"))
 
-    index = keyed(index_keys(bands)).drop("gap")
-    held = index.select("key", "band", F.col("h").alias("a"), F.col("parity").alias("wa"))
-    other = lambda d: d.withColumnsRenamed({"h": "b", "parity": "wb"})
+    # made anew for each side, not joined with itself: only so does Spark see equal exchanges and run each once
+    side = lambda keys, h, parity, *more: keyed(keys).select("key", "band", F.col("h").alias(h), F.col("parity").alias(parity), *more)
+    held = lambda: side(index_keys(bands), "a", "wa")
     edits = F.element_at(F.array(*[F.lit(3 * x.tau) for x in bands]), F.col("band") + 1)
     alike = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= edits
-    # the index meets itself (its exchange is used again: both sides hold the same columns), then the probes
-    pairs = held.join(other(index), ["key", "band"]).filter((F.col("a") < F.col("b")) & alike).select("a", "b", "band")
+    # the index meets itself, then the probes
+    pairs = held().join(side(index_keys(bands), "b", "wb"), ["key", "band"]).filter((F.col("a") < F.col("b")) & alike).select("a", "b", "band")
     if probes := probe_keys(bands):
         once = (F.col("a") != F.col("b")) & ((F.col("gap") > 0) | (F.col("a") < F.col("b")))
-        pairs = pairs.union(held.join(other(keyed(probes)), ["key", "band"]).filter(once & alike).select("a", "b", "band"))
+        pairs = pairs.union(held().join(side(probes, "b", "wb", "gap"), ["key", "band"]).filter(once & alike).select("a", "b", "band"))
     pairs = pairs.distinct()
     pairs = work.save(pairs, "pairs")
     needed = work.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
