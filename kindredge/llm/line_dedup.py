@@ -46,7 +46,8 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line_no from 0, line) of ``rows_of``."""
-    return docs.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # "outer", else Spark would split every text a second time to see that there are lines
+    return docs.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")).filter("line_no is not null")
 
 
 def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
@@ -107,8 +108,8 @@ def probe_keys(bands: tuple[Band, ...]) -> list[Key]:
 
 
 def word_parity() -> Column:
-    """Of a row (words: hashes): ``BITS`` bits, bit b set when an odd number of words hash to b."""
-    return F.expr(f"aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(pmod(w, {BITS}) as int)))")
+    """Of a row (words): ``BITS`` bits, bit b set when an odd number of words hash to b."""
+    return F.expr(f"aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(pmod(xxhash64(w), {BITS}) as int)))")
 
 
 def _let(value: Column, body) -> Column:
@@ -169,11 +170,11 @@ def _parts(line: str, unit: str) -> Column:
 
 def edit_links(lines: DataFrame, work: Work, bands: tuple[Band, ...] = BANDS) -> DataFrame:
     """``lines`` (line), repeated or not -> (a, b), MD5s of different lines linked in any band, each pair once."""
-    distinct = lines.select("line").distinct().select("line", F.length("line").alias("chars"), F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w)).alias("words"))
+    distinct = lines.select("line").distinct().select("line", F.length("line").alias("chars"), F.split("line", " ", -1).alias("words"))
 
     def keyed(keys: list[Key]) -> DataFrame:
-        """A row a key. The hashes are columns of a projection, which Spark compiles; within a higher-order function it would not. (Without "outer", it would
-        make the arrays a second time, of all lines, to see that they are not empty.)"""
+        """A row a key. The hashes are columns of a projection, which Spark compiles; within a higher-order function it would
+        not. (Without "outer", it would make the arrays twice, to see that they are not empty.)"""
         d = distinct.select("line", "chars", F.size("words").alias("n_words"), word_parity().alias("parity"))
         d = d.select(F.xxhash64("line").alias("h"), "parity", F.array(*[k.key for k in keys]).alias("keys"))
         d = d.select("h", "parity", F.posexplode_outer("keys").alias("at", "key")).filter("key is not null")
