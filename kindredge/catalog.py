@@ -12,7 +12,7 @@ from .functions import similarity as S
 from .functions import text as T
 from .operators import blocking, decide, evidence, features, lexicon, metrics, model, normalize, synth
 from .plans import linkage
-from .plans.store import save
+from .plans.store import grown, save
 from .sources import records
 
 CFG = Config()
@@ -81,7 +81,7 @@ class Run:
 
     @cached_property
     def missed(self):
-        return self.truth.join(self.pairs, ["s1_id", "c_id"], "left_anti").agg(F.count("*").alias("n"))
+        return self.truth.join(grown(self.pairs), ["s1_id", "c_id"], "left_anti").agg(F.count("*").alias("n"))
 
     @cached_property
     def train(self):
@@ -238,7 +238,7 @@ def er_flag_features(spark, sf):
 def er_jaro_winkler(spark, sf):
     r = Run(spark, sf)
     one, two = r.final
-    j = r.pairs.join(one.select(F.col("entity_id").alias("s1_id"), F.col("name_core").alias("a")), "s1_id").join(two.select(F.col("entity_id").alias("c_id"), F.col("name_core").alias("b")), "c_id")
+    j = r.pairs.join(grown(one.select(F.col("entity_id").alias("s1_id"), F.col("name_core").alias("a"))), "s1_id").join(grown(two.select(F.col("entity_id").alias("c_id"), F.col("name_core").alias("b"))), "c_id")
     return j.select("s1_id", "c_id", F.round(S.jaro_winkler_of("a", "b"), 6).alias("nm_jw"))
 
 
@@ -295,7 +295,7 @@ def er_end_to_end(spark, sf):
 
 def er_oracle_ceiling(spark, sf):
     r = Run(spark, sf)
-    return metrics.summary(metrics.per_entity(r.pairs.join(r.truth, ["s1_id", "c_id"], "left_semi"), r.truth, r.entities))
+    return metrics.summary(metrics.per_entity(r.pairs.join(grown(r.truth), ["s1_id", "c_id"], "left_semi"), r.truth, r.entities))
 
 
 
@@ -360,13 +360,13 @@ def er_truth_lists(spark, sf):
 
 def er_orphans(spark, sf):
     r = Run(spark, sf)
-    return r.entities.join(r.pairs, "s1_id", "left_anti")
+    return r.entities.join(grown(r.pairs), "s1_id", "left_anti")
 
 
 def er_lonely(spark, sf):
     """Entities without a candidate above the middle of the votes: a left anti join that finds some."""
     r = Run(spark, sf)
-    return r.entities.join(r.scored.filter("p >= 0.9"), "s1_id", "left_anti")
+    return r.entities.join(grown(r.scored.filter("p >= 0.9")), "s1_id", "left_anti")
 
 
 
@@ -424,7 +424,7 @@ def er_blend(spark, sf):
 def er_noise_rates(spark, sf):
     s1, cand = _records(spark, sf)
     one = s1.select(F.col("entity_id").alias("origin_id"), F.col("business_name").alias("name1"), F.col("business_address").alias("addr1"))
-    return synth.rates(cand.filter("not is_decoy").join(one, "origin_id").select("name1", "addr1", F.col("business_name").alias("name2"), F.col("business_address").alias("addr2")))
+    return synth.rates(cand.filter("not is_decoy").join(grown(one), "origin_id").select("name1", "addr1", F.col("business_name").alias("name2"), F.col("business_address").alias("addr2")))
 
 
 def er_synthetic(spark, sf):
@@ -459,7 +459,7 @@ def er_places(spark, sf):
     r = Run(spark, sf)
     lex = lexicon.Lexicon(localities=sorted(x.comp for x in lexicon.localities(r.base[0]).collect()))
     one, two = (normalize.finalize(d, lex).select("entity_id", "localities") for d in r.base)
-    d = r.pairs.join(one.withColumnsRenamed({"entity_id": "s1_id", "localities": "l1"}), "s1_id").join(two.withColumnsRenamed({"entity_id": "c_id", "localities": "l2"}), "c_id")
+    d = r.pairs.join(grown(one.withColumnsRenamed({"entity_id": "s1_id", "localities": "l1"})), "s1_id").join(grown(two.withColumnsRenamed({"entity_id": "c_id", "localities": "l2"})), "c_id")
     return d.select("s1_id", "c_id", F.when((F.size("l1") > 0) & (F.size("l2") > 0), F.size(F.array_intersect("l1", "l2"))).alias("loc_overlap"))
 
 

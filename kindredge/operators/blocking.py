@@ -48,13 +48,13 @@ def index(s1_keys: DataFrame, cap: int) -> DataFrame:
     (map-side), so that no list grows beyond the cap; the lists then form where the counted keys already lie."""
     hashed = s1_keys.select(F.xxhash64("country", "key").alias("h"), "entity_id")
     counted = hashed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") <= cap)
-    return hashed.join(counted, "h").groupBy("h").agg((1.0 / F.log2(1.0 + F.first("n"))).alias("weight"), F.collect_list("entity_id").alias("ids"))
+    return hashed.join(store.grown(counted), "h").groupBy("h").agg((1.0 / F.log2(1.0 + F.first("n"))).alias("weight"), F.collect_list("entity_id").alias("ids"))
 
 
 def met(s1_keys: DataFrame, cand_keys: DataFrame, cap: int) -> DataFrame:
     """(c_id, country, weight, ids): a candidate's keys met with the index, as whole lists."""
     probe = cand_keys.select(F.xxhash64("country", "key").alias("h"), "country", F.col("entity_id").alias("c_id"))
-    return probe.join(index(s1_keys, cap), "h").select("c_id", "country", "weight", "ids")
+    return probe.join(store.grown(index(s1_keys, cap)), "h").select("c_id", "country", "weight", "ids")
 
 
 def summed(lists: DataFrame, by: list[str]) -> DataFrame:
@@ -90,15 +90,15 @@ def generate(s1: DataFrame, cand: DataFrame, cfg: Blocking = Blocking(), save=st
     tasks as the records need, whatever the session's number of partitions."""
     numbers = numbered(s1, save)
     names = numbers.withColumnsRenamed({"entity_id": "s1_id", "country": "land"})
-    one = s1.join(names, (F.col("entity_id") == F.col("s1_id")) & F.col("country").eqNullSafe(F.col("land"))).drop("entity_id", "s1_id", "land").withColumnRenamed("no", "entity_id")
+    one = s1.join(store.grown(names), (F.col("entity_id") == F.col("s1_id")) & F.col("country").eqNullSafe(F.col("land"))).drop("entity_id", "s1_id", "land").withColumnRenamed("no", "entity_id")
     lists = met(keys(one, cfg, True), keys(cand, cfg), cfg.key_cap).drop("country").repartition(1 + cand.count() // RECORDS, "c_id")
     top = top_candidates(summed(lists, ["c_id", "s1_id"]), cfg).withColumnRenamed("s1_id", "no")
-    return top.join(names, "no").select("c_id", "s1_id", F.col("land").alias("country"), "votes", "rank", "rel")
+    return top.join(store.grown(names), "no").select("c_id", "s1_id", F.col("land").alias("country"), "votes", "rank", "rel")
 
 
 def recall_curve(pairs: DataFrame, truth: DataFrame, ranks=(1, 2, 3, 4, 6, 8), rels=(0.2, 0.35, 0.5)) -> DataFrame:
     """(cut, pairs, found, recall) for rank and relative-vote cuts: one pass over the pairs."""
-    hit = pairs.join(truth.select("s1_id", "c_id", F.lit(1).alias("y")), ["s1_id", "c_id"], "left")
+    hit = pairs.join(store.grown(truth.select("s1_id", "c_id", F.lit(1).alias("y"))), ["s1_id", "c_id"], "left")
     cuts = [(f"rank<{k}", F.col("rank") < k) for k in ranks] + [(f"rel>={r}", F.col("rel") >= r) for r in rels]
     sums = hit.agg(*[F.sum(c.cast("long")).alias(f"p{i}") for i, (_, c) in enumerate(cuts)], *[F.sum((c & F.col("y").isNotNull()).cast("long")).alias(f"f{i}") for i, (_, c) in enumerate(cuts)])
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("cut"), F.coalesce(f"p{i}", F.lit(0)).alias("pairs"), F.coalesce(f"f{i}", F.lit(0)).alias("found")) for i, (n, _) in enumerate(cuts)])).alias("r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import save
+from ..plans.store import grown, save
 
 
 def owner(d: DataFrame, p: str = "p") -> DataFrame:
@@ -37,16 +37,16 @@ def fill(d: DataFrame, p: str = "p", least: float = 0.5) -> DataFrame:
     ``d`` (s1_id, c_id, p, selected, any further columns); a record goes to its best entity, an entity takes one record."""
     s3 = F.col("c_id").startswith("S3").cast("int")
     lists = d.filter("selected").groupBy("s1_id").agg(F.min(s3).alias("lo"), F.max(s3).alias("hi")).filter("lo = hi").select("s1_id", F.col("lo").alias("has"))
-    free = d.join(d.filter("selected").select("c_id").distinct(), "c_id", "left_anti").filter(F.col(p) >= least).join(lists, "s1_id").filter(s3 != F.col("has"))
+    free = d.join(grown(d.filter("selected").select("c_id").distinct()), "c_id", "left_anti").filter(F.col(p) >= least).join(grown(lists), "s1_id").filter(s3 != F.col("has"))
     per_record = free.withColumn("_k", F.row_number().over(Window.partitionBy("c_id").orderBy(F.desc(p), "s1_id"))).filter("_k = 1")
     per_entity = per_record.withColumn("_k", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc(p), "c_id"))).filter("_k = 1")
     added = per_entity.select("s1_id", "c_id", F.lit(True).alias("_add"))
-    return d.join(added, ["s1_id", "c_id"], "left").withColumn("selected", F.col("selected") | F.coalesce("_add", F.lit(False))).drop("_add")
+    return d.join(grown(added), ["s1_id", "c_id"], "left").withColumn("selected", F.col("selected") | F.coalesce("_add", F.lit(False))).drop("_add")
 
 
 def decide(d: DataFrame, p: str = "p", min_prob: float = 0.0, fill_min_prob: float = 0.5) -> DataFrame:
     """All pairs with ``selected``: owner, then prefix, then (unless 0) the missing source."""
     d = save(d, "claims")  # read by several branches below
     chosen = select(owner(d, p), p, min_prob).select("s1_id", "c_id", "selected")
-    out = d.join(chosen, ["s1_id", "c_id"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    out = d.join(grown(chosen), ["s1_id", "c_id"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
     return fill(save(out, "lists"), p, fill_min_prob) if fill_min_prob else out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import grown
 from .decide import owner
 
 
@@ -13,10 +14,10 @@ def evidence(pairs: DataFrame, s1: DataFrame, cand: DataFrame, truth: DataFrame,
     candidates have one row without a record."""
     raw = lambda d, x: d.select(F.col("entity_id").alias(f"{x}_id"), F.col("business_name").alias(f"{x}_name"), F.col("business_address").alias(f"{x}_addr"))
     best = owner(pairs, p).select("c_id", F.col("s1_id").alias("rival_id"))
-    d = pairs.drop("country").join(best, "c_id", "left").withColumn("rival_id", F.when(F.col("rival_id") != F.col("s1_id"), F.col("rival_id")))
-    d = d.join(truth.select("s1_id", "c_id", F.lit(1).alias("label")), ["s1_id", "c_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    d = d.join(raw(cand, "c"), "c_id")
-    return raw(s1, "s1").join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").join(d, "s1_id", "left")
+    d = pairs.drop("country").join(grown(best), "c_id", "left").withColumn("rival_id", F.when(F.col("rival_id") != F.col("s1_id"), F.col("rival_id")))
+    d = d.join(grown(truth.select("s1_id", "c_id", F.lit(1).alias("label"))), ["s1_id", "c_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    d = d.join(grown(raw(cand, "c")), "c_id")
+    return raw(s1, "s1").join(grown(s1.select(F.col("entity_id").alias("s1_id"), "country")), "s1_id").join(grown(d), "s1_id", "left")
 
 
 def verdict(d: DataFrame) -> Column:

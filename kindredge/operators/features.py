@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..plans.store import grown
 
 TOKENS = 6
 NONE = lambda kind="double": F.lit(None).cast(kind)
@@ -40,7 +41,7 @@ def with_idf(d: DataFrame, table: DataFrame, column: str, name: str) -> DataFram
     worst = table.agg(F.max("idf").alias("worst"))
     t = d.select("entity_id", F.posexplode(F.slice(column, 1, TOKENS)).alias("at", "token")).join(table, "token", "left").crossJoin(F.broadcast(worst))
     t = t.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("at", "token", F.coalesce("idf", "worst", F.lit(0.0)).alias("idf")))).alias(name))
-    return d.join(t, "entity_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<at:int,token:string,idf:double>>")))
+    return d.join(grown(t), "entity_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<at:int,token:string,idf:double>>")))
 
 
 def rarity(a: Column, b: Column, name: str) -> dict[str, Column]:
@@ -68,11 +69,11 @@ def pair_features(pairs: DataFrame, s1: DataFrame, cand: DataFrame, scores: bool
         table = idf(s1, column)
         s1, cand = with_idf(s1, table, column, name), with_idf(cand, table, column, name)
     counts = name_counts(s1)
-    s1, cand = (d.join(counts, ["country", "name_core"], "left") for d in (s1, cand))
+    s1, cand = (d.join(grown(counts), ["country", "name_core"], "left") for d in (s1, cand))
     keep = ["entity_id", "name_core", "name_full", "name_nospace", "addr_alpha", "addr_norm", "nums", "n_name_tok", "localities", "nm_idf", "ad_idf", "name_n"]
     side = lambda d, p, more=(): d.select(*[F.col(c).alias(f"{p}_{c}") for c in [*keep, *more]])
     flags = ["f_alias", "f_url", "f_junk", "f_script", "f_empty_addr", "f_pseudo"]
-    j = pairs.join(side(s1, "a"), F.col("s1_id") == F.col("a_entity_id")).join(side(cand, "b", flags), F.col("c_id") == F.col("b_entity_id"))
+    j = pairs.join(grown(side(s1, "a")), F.col("s1_id") == F.col("a_entity_id")).join(grown(side(cand, "b", flags)), F.col("c_id") == F.col("b_entity_id"))
     a, b = ({c: F.col(f"{p}_{c}") for c in keep} for p in "ab")
     out = {**numbers(a["nums"], b["nums"]), **rarity(a["nm_idf"], b["nm_idf"], "nm_idf"), **rarity(a["ad_idf"], b["ad_idf"], "ad_idf")}
     out["loc_overlap"] = F.when((F.size(a["localities"]) > 0) & (F.size(b["localities"]) > 0), F.size(F.array_intersect(a["localities"], b["localities"])).cast("double"))
@@ -113,7 +114,7 @@ def coherence(d: DataFrame, cand: DataFrame, p: str = "p", scores: bool = True)
     d = d.withColumn("anchor", F.when(F.row_number().over(w) == 1, second).otherwise(best))
     d = d.select("*", F.col("anchor.p").alias("coh_p"), F.col("anchor.id").alias("anchor_id")).drop("anchor")
     side = lambda n: cand.select(F.col("entity_id").alias(n), *[F.col(x).alias(f"{n}_{x}") for x in ("name_core", "addr_alpha", "nums")])
-    d = d.join(side("own"), F.col("c_id") == F.col("own")).join(side("other"), F.col("anchor_id") == F.col("other"), "left")
+    d = d.join(grown(side("own")), F.col("c_id") == F.col("own")).join(grown(side("other")), F.col("anchor_id") == F.col("other"), "left")
     one, two = F.slice("own_nums", 1, 3), F.slice("other_nums", 1, 3)
     d = d.withColumn("coh_num", F.when((F.size(one) > 0) & (F.size(two) > 0), F.arrays_overlap(one, two).cast("double")))
     if scores:

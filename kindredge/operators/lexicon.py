@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Normalise
 from ..functions import text as T
+from ..plans.store import grown
 from .normalize import core_tokens
 
 
@@ -46,12 +47,12 @@ def keyed_components(d: DataFrame, key: str = "entity_id") -> DataFrame:
 
 def component_pairs(s1: DataFrame, cand: DataFrame, pairs: DataFrame) -> DataFrame:
     """(comp2, comp1, n, f1, f2): how many true pairs have comp2 on the candidate's and comp1 on the entity's side."""
-    one = pairs.join(keyed_components(s1).withColumnsRenamed({"entity_id": "s1_id", "comp": "comp1"}), "s1_id").select("s1_id", "c_id", "comp1")
-    two = pairs.join(keyed_components(cand).withColumnsRenamed({"entity_id": "c_id", "comp": "comp2"}), "c_id").select("s1_id", "c_id", "comp2")
-    n = one.join(two, ["s1_id", "c_id"]).groupBy("comp2", "comp1").agg(F.count("*").alias("n"))
+    one = pairs.join(grown(keyed_components(s1).withColumnsRenamed({"entity_id": "s1_id", "comp": "comp1"})), "s1_id").select("s1_id", "c_id", "comp1")
+    two = pairs.join(grown(keyed_components(cand).withColumnsRenamed({"entity_id": "c_id", "comp": "comp2"})), "c_id").select("s1_id", "c_id", "comp2")
+    n = one.join(grown(two), ["s1_id", "c_id"]).groupBy("comp2", "comp1").agg(F.count("*").alias("n"))
     f1 = one.groupBy("comp1").agg(F.count("*").alias("f1"))
     f2 = two.groupBy("comp2").agg(F.count("*").alias("f2"))
-    return n.join(f1, "comp1").join(f2, "comp2")
+    return n.join(grown(f1), "comp1").join(grown(f2), "comp2")
 
 
 def learn_components(s1: DataFrame, cand: DataFrame, pairs: DataFrame, cfg: Normalise = Normalise()) -> DataFrame:
@@ -73,7 +74,7 @@ def learn_translit(s1: DataFrame, cand: DataFrame, pairs: DataFrame, cfg: Normal
     """(native, latin, n, share): native-script tokens aligned by place with the entity's tokens, the most frequent kept."""
     two = cand.filter("f_script").select(F.col("entity_id").alias("c_id"), F.col("name_tokens").alias("t2"))
     one = s1.select(F.col("entity_id").alias("s1_id"), F.col("name_tokens").alias("t1"))
-    z = pairs.join(two, "c_id").join(one, "s1_id").filter(F.size("t1") == F.size("t2")).select(F.explode(F.arrays_zip("t1", "t2")).alias("z"))
+    z = pairs.join(grown(two), "c_id").join(grown(one), "s1_id").filter(F.size("t1") == F.size("t2")).select(F.explode(F.arrays_zip("t1", "t2")).alias("z"))
     z = z.select(F.col("z.t2").alias("native"), F.col("z.t1").alias("latin")).filter(F.col("native").rlike(T.SCRIPT) & F.col("latin").rlike("^[a-z]+$"))
     n = z.groupBy("native", "latin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("native")
@@ -89,7 +90,7 @@ def pseudo_pairs(s1: DataFrame, cand: DataFrame, limit: int | None = None) -> Da
     one = s1.select(F.col("entity_id").alias("s1_id"), "country", name.alias("core"), F.get("nums", F.lit(0)).alias("num")).filter("num is not null")
     once = one.groupBy("country", "core", "num").agg(F.min("s1_id").alias("s1_id"), F.count("*").alias("n")).filter("n = 1").drop("n")
     two = cand.select(F.col("entity_id").alias("c_id"), "country", name.alias("core"), F.explode(F.slice("nums", 1, 3)).alias("num"))
-    out = once.join(two, ["country", "core", "num"]).select("s1_id", "c_id").distinct()
+    out = once.join(grown(two), ["country", "core", "num"]).select("s1_id", "c_id").distinct()
     return out if limit is None else out.orderBy(F.md5(F.concat_ws("|", "s1_id", "c_id")), "s1_id", "c_id").limit(limit)
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import grown
+
 
 def per_entity(predicted: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:
     """(s1_id, tp, n_pred, n_gt, f, precision, recall) for every entity; an empty list for no truth scores 1."""
-    n = lambda d, name: d.groupBy("s1_id").agg(F.count("*").alias(name))
+    n = lambda d, name: grown(d.groupBy("s1_id").agg(F.count("*").alias(name)))
     pred, gt = (d.select("s1_id", "c_id").distinct() for d in (predicted, truth))
-    d = entities.select("s1_id").join(n(pred.join(gt, ["s1_id", "c_id"], "left_semi"), "tp"), "s1_id", "left").join(n(pred, "n_pred"), "s1_id", "left").join(n(gt, "n_gt"), "s1_id", "left").na.fill(0)
+    d = entities.select("s1_id").join(n(pred.join(grown(gt), ["s1_id", "c_id"], "left_semi"), "tp"), "s1_id", "left").join(n(pred, "n_pred"), "s1_id", "left").join(n(gt, "n_gt"), "s1_id", "left").na.fill(0)
     both = (F.col("n_pred") == 0) & (F.col("n_gt") == 0)
     f = F.when(both, 1.0).otherwise(1.25 * F.col("tp") / (F.col("n_pred") + 0.25 * F.col("n_gt")))
     precision = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).when(both, 1.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import blocking, decide, features, metrics, model, normalize
+from .store import grown
 
 
 def prepared(records: DataFrame, lexicon=None, cfg: Config = Config()) -> DataFrame:
@@ -20,7 +21,7 @@ def rule_score(d: DataFrame) -> DataFrame:
 
 
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    return pairs.join(truth.select("s1_id", "c_id", F.lit(1).alias("y")), ["s1_id", "c_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return pairs.join(grown(truth.select("s1_id", "c_id", F.lit(1).alias("y"))), ["s1_id", "c_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
 
 STAGE1 = ["num_p_in", "num_p_first", "num_frac1", "num_frac2", "num_logdiff", "num_drop", "num_del_any", "num_long", "n_nums1", "n_nums2", "nm_idf_cov1", "nm_idf_cov2", "nm_idf_rare", "ad_idf_cov1", "ad_idf_cov2", "ad_idf_rare", "loc_overlap",
@@ -71,7 +72,7 @@ def routed(base: DataFrame, other: DataFrame | None, labelled: list[str], weight
     """Scores of two model sets over the same pairs, by country: labelled ones have the first's, the rest the mixture."""
     if other is None or weight == 0:
         return base
-    both = base.withColumnRenamed("p", "p_base").join(other.select("s1_id", "c_id", F.col("p").alias("p_other")), ["s1_id", "c_id"])
+    both = base.withColumnRenamed("p", "p_base").join(grown(other.select("s1_id", "c_id", F.col("p").alias("p_other"))), ["s1_id", "c_id"])
     return model.blend(both, labelled, "p_base", "p_other", weight).drop("p_base", "p_other")
 
 
@@ -109,9 +110,9 @@ def described(per: DataFrame, s1: DataFrame, pairs: DataFrame, truth: DataFrame,
     """``per`` (an entity a row) with what its slices are: country, singleton, look-alike among the candidates (``pairs``: s1_id,
     y, alike), unusual name or empty address among the true records (flags of ``cand``), number of candidates."""
     flags = cand.select(F.col("entity_id").alias("c_id"), (F.col("f_pseudo") | F.col("f_alias") | F.col("f_url") | F.col("f_script")).alias("odd"), F.col("f_empty_addr").alias("bare"))
-    own = truth.join(flags, "c_id").groupBy("s1_id").agg(F.max("odd").alias("unusual_name"), F.max("bare").alias("empty_address"))
+    own = truth.join(grown(flags), "c_id").groupBy("s1_id").agg(F.max("odd").alias("unusual_name"), F.max("bare").alias("empty_address"))
     near = pairs.groupBy("s1_id").agg(F.max((F.col("y") == 0) & (F.col("alike") == 1)).alias("look_alike"), F.count("*").alias("n"))
-    d = per.join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").join(own, "s1_id", "left").join(near, "s1_id", "left")
+    d = per.join(grown(s1.select(F.col("entity_id").alias("s1_id"), "country")), "s1_id").join(grown(own), "s1_id", "left").join(grown(near), "s1_id", "left")
     n = F.coalesce("n", F.lit(0))
     some = F.when(n == 0, "0").when(n <= 3, "1-3").when(n <= 6, "4-6").when(n <= 10, "7-10").when(n <= 20, "11-20").otherwise(">20")
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
@@ -138,12 +139,12 @@ def systems(d: DataFrame, truth: DataFrame, s1: DataFrame, cand: DataFrame, cfg:
     ``d``: pairs with p1, p2, p, y, rank and features."""
     who = s1.select(F.col("entity_id").alias("s1_id"), model.role(F.col("entity_id"), cfg.split).alias("role"))
     train, held = (who.filter(F.col("role") == x).select("s1_id") for x in ("TRAIN", role))
-    known = lambda x: truth.join(x, "s1_id", "left_semi")
-    own = d.join(train, "s1_id", "left_semi")
+    known = lambda x: truth.join(grown(x), "s1_id", "left_semi")
+    own = d.join(grown(train), "s1_id", "left_semi")
     rules = {f"name>={a} address>={b}": (F.col("nm_tset") >= a) & (F.col("ad_tset") >= b) for a in (70, 80, 90) for b in (60, 80)}
     cuts = {f"p1>={t}": F.col("p1") >= t for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)}
     b0, b1 = best_cut(own, rules, known(train), train), best_cut(own, cuts, known(train), train)
-    here = d.join(held, "s1_id", "left_semi")
+    here = d.join(grown(held), "s1_id", "left_semi")
     chosen = {f"B0 rule {b0}": here.filter(rules[b0]), f"B1 first stage {b1}": here.filter(cuts[b1]), "B2 first stage, lists": decide.decide(here, "p1", 0.0, 0.0).filter("selected"),
               "B3 second stage p2>=0.5": here.filter("p2 >= 0.5"), "FINAL last stage, lists and fill": decide.decide(here, "p", floor, cfg.decide.fill_min_prob).filter("selected")}
     alike = here.select("s1_id", "y", (F.col("nm_tset") >= 90).cast("int").alias("alike"))
@@ -161,8 +162,8 @@ def grid_floor(scored: DataFrame, truth: DataFrame, s1: DataFrame, grid=(0.0, 0.
     kept = decide.select(decide.owner(scored)).filter("selected").select("s1_id", "c_id", "p")
     hit = labelled(kept, truth).withColumn("floor", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).filter(F.col("p") >= F.col("floor"))
     got = hit.groupBy("floor", "s1_id").agg(F.sum("y").alias("tp"), F.count("*").alias("n_pred"))
-    gt = s1.select(F.col("entity_id").alias("s1_id")).join(truth.groupBy("s1_id").agg(F.count("*").alias("n_gt")), "s1_id", "left").na.fill(0)
+    gt = s1.select(F.col("entity_id").alias("s1_id")).join(grown(truth.groupBy("s1_id").agg(F.count("*").alias("n_gt"))), "s1_id", "left").na.fill(0)
     every = gt.withColumn("floor", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    d = every.join(got, ["floor", "s1_id"], "left").na.fill(0)
+    d = every.join(grown(got), ["floor", "s1_id"], "left").na.fill(0)
     f = F.when((F.col("n_pred") == 0) & (F.col("n_gt") == 0), 1.0).otherwise(1.25 * F.col("tp") / (F.col("n_pred") + 0.25 * F.col("n_gt")))
     return d.groupBy("floor").agg(F.round(F.avg(f), 9).alias("f"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import grown
+
 RAW = "entity_id string, business_name string, business_address string, country string"
 TRUTH = "source1_entity_id string, matched_entity_ids string"
 
@@ -38,14 +40,14 @@ def truth_pairs(lists: DataFrame) -> DataFrame:
 
 def unknown_ids(truth: DataFrame, s1: DataFrame, cand: DataFrame) -> DataFrame:
     """Pairs of the ground truth that name a record that does not exist; must be empty."""
-    left = truth.join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_anti")
-    return left.union(truth.join(cand.select(F.col("entity_id").alias("c_id")), "c_id", "left_anti").select("s1_id", "c_id"))
+    left = truth.join(grown(s1.select(F.col("entity_id").alias("s1_id"))), "s1_id", "left_anti")
+    return left.union(truth.join(grown(cand.select(F.col("entity_id").alias("c_id"))), "c_id", "left_anti").select("s1_id", "c_id"))
 
 
 def match_lists(s1: DataFrame, pairs: DataFrame, column: str = "matched_entity_ids") -> DataFrame:
     """Every entity of ``s1`` once, with its records' ids in order, comma-joined; '' where there are none."""
     lists = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("c_id")), ",").alias(column))
-    out = s1.select(F.col("entity_id").alias("s1_id")).join(lists, "s1_id", "left")
+    out = s1.select(F.col("entity_id").alias("s1_id")).join(grown(lists), "s1_id", "left")
     return out.select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(column, F.lit("")).alias(column))
 
 
@@ -92,6 +94,7 @@ TABLES = ("customer", "part", "nation", "region")
 
 def derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(source-1 records, candidate records with origin_id, is_decoy and noise_op)."""
-    s1 = spark.sql(S1_SQL.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    s1 = spark.sql(S1_SQL, **read | {t: grown(read[t]) for t in ("customer", "part")})
     s1.createOrReplaceTempView("s1_business")
     return s1, spark.sql(CAND_SQL)
