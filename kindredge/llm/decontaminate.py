@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, bounded_batches, chunks, mix64, word_hashes
+from .common import Work, bounded_batches, chunks, lean, mix64, word_hashes
 
 RADIUS = 7
 RATIO = 1.15
@@ -222,10 +222,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
     work, held, parts = Work(docs.sparkSession, "leaks"), [], 0
     for row in items.toLocalIterator():
         if len(held) == block:  # a further block follows: this one's rows are written, so that the driver holds one at a time
-            work.save(docs.mapInArrow(_scanner(held, k, least), schema), f"part{parts}")
+            work.save(docs.mapInArrow(lean(_scanner(held, k, least)), schema), f"part{parts}")
             held, parts = [], parts + 1
         held.append((row.item_id, row.text))
-    out = docs.mapInArrow(_scanner(held, k, least), schema)
+    out = docs.mapInArrow(lean(_scanner(held, k, least)), schema)
     for i in range(parts):
         out = out.union(work.load(f"part{i}", schema))
     return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, bounded_batches, chunks, maybe_broadcast, mix64, shingle_sets
+from .common import Work, bounded_batches, chunks, lean, maybe_broadcast, mix64, shingle_sets
 from .components import components
 
 #: Signature coordinates that name children, 32 bits each.
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
     bounded_batches(spark)
     work = Work(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = work.save(docs.mapInArrow(_sketcher(k), "doc_id long, n int, k1 long, k2 long, path binary, est binary"), "sketch")
+    sketch = work.save(docs.mapInArrow(lean(_sketcher(k)), "doc_id long, n int, k1 long, k2 long, path binary, est binary"), "sketch")
     base = work.save(sketch.select("doc_id", "n", "k1", "k2"), "base")
     keyed = sketch.filter("n > 0 and doc_id is not null")
     reps = work.save(keyed.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "path", "est")).alias("r")).select(F.col("r.doc_id").alias("rep"), "n", "k1", "k2", "r.path", "r.est"), "reps")
@@ -357,12 +357,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100,
 
     paths = reps.select("rep", "k1", "n", "path")
     order, schema = ["node", "rep", "k1", "n", "path"], "node long, rep long, k1 long, n int"
-    member = paths.withColumn("node", F.lit(0).cast("long")).select(*order).mapInArrow(_brancher(trees, 1, num / den), schema)
+    member = paths.withColumn("node", F.lit(0).cast("long")).select(*order).mapInArrow(lean(_brancher(trees, 1, num / den)), schema)
     for depth in itertools.count():
         big = join.level(depth, member)
         if big is None:
             break
-        member = big.join(paths, ["rep", "k1", "n"]).select(*order).mapInArrow(_brancher(0, STEPS[depth > 0], num / den, 1 if depth else COPIES), schema)
+        member = big.join(paths, ["rep", "k1", "n"]).select(*order).mapInArrow(lean(_brancher(0, STEPS[depth > 0], num / den, 1 if depth else COPIES)), schema)
 
     classes = reps.select("rep", "n", "k1", "k2")
     if join.comps is not None:
@@ -402,7 +402,7 @@ class Join:
         own = small.groupBy("rep", "k1").agg(F.collect_list("node").alias("nodes"))  # as many as the trees give a set
         own = self.label(own.join(self.sigs, ["rep", "k1"]), "rep", "comp")
         rows = own.select(F.explode("nodes").alias("node"), "rep", "comp", F.col("n").cast("long").alias("n"), "est", "nodes")
-        found = rows.repartition("node").sortWithinPartitions("node").mapInArrow(_contested(self.num, self.den), "node long, rep long")
+        found = rows.repartition("node").sortWithinPartitions("node").mapInArrow(lean(_contested(self.num, self.den)), "node long, rep long")
         has_big = bool(big.head(1))
         if has_big:
             found = found.union(self.stars(depth, big))
@@ -410,8 +410,8 @@ class Join:
         longs = contested.agg(F.sum(F.size("nodes") + 1)).first()[0]
         if longs:
             texts = self.docs.withColumnRenamed("doc_id", "rep").join(maybe_broadcast(contested, longs), "rep")
-            sets = texts.select("rep", "text", "nodes").mapInArrow(_set_maker(self.k), "node long, rep long, s array<long>")
-            links = sets.repartition("node").sortWithinPartitions("node").mapInArrow(_linker(self.num, self.den), "a long, b long")
+            sets = texts.select("rep", "text", "nodes").mapInArrow(lean(_set_maker(self.k)), "node long, rep long, s array<long>")
+            links = sets.repartition("node").sortWithinPartitions("node").mapInArrow(lean(_linker(self.num, self.den)), "a long, b long")
             self.add(depth, work.save(links, f"links{depth}"))
         if not has_big:
             return None
@@ -435,7 +435,7 @@ class Join:
         stars = self.label(self.label(stars, "rep", "ca"), "p", "cb").filter("ca <> cb").drop("ca", "cb")
         other = self.sigs.select(F.col("rep").alias("p"), F.col("k1").alias("pk"), F.col("n").alias("pn"), F.col("est").alias("pest"))
         stars = stars.join(self.sigs, ["rep", "k1"]).join(other, ["p", "pk"]).select("rep", "p", "n", "pn", "est", "pest")
-        stars = self.work.save(stars.mapInArrow(_estimated(self.num, self.den), "rep long, p long, n int"), f"stars{depth}")
+        stars = self.work.save(stars.mapInArrow(lean(_estimated(self.num, self.den)), "rep long, p long, n int"), f"stars{depth}")
         dealt = stars.groupBy("p").agg(F.greatest(F.ceil(F.count("*") * (2 / self.leaf)), F.ceil(F.sum("n") * (2 / self.shingles))).cast("int").alias("salts"))
         node = lambda salt: F.xxhash64(F.lit(depth), "p", salt).alias("node")
         rows = stars.join(dealt, "p").select(node(F.pmod(F.xxhash64("rep"), "salts").cast("int")), "rep")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, bounded_batches
+from .common import Work, bounded_batches, lean
 
 CAPACITY = 2048
 END_ID = 1
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     work = Work(spark, "pack")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = work.save(docs.mapInArrow(_piece_cutter(tokenizer, capacity, end_id), schema).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = work.save(docs.mapInArrow(lean(_piece_cutter(tokenizer, capacity, end_id)), schema).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(groups))).drop("row")
     grouped = dealt.groupBy("group").applyInPandas(_packer(capacity), schema + ", sequence_id long, offset long")

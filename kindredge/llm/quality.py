@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 4
 DIM, FILTERS, HIDDEN = 8, 48, 16
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = BYTE
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     learn = labels.filter((fold != 0) & F.col("quality").isin(0, 1)).dropDuplicates()
     counts = {r.quality: r["count"] for r in learn.groupBy("quality").count().collect()}
-    found = _sample(docs, learn, rows, size).mapInArrow(_sampler, "chunk binary, label int, share double").toPandas()
+    found = _sample(docs, learn, rows, size).mapInArrow(lean(_sampler), "chunk binary, label int, share double").toPandas()
     chunks = np.frombuffer(b"".join(found["chunk"]), np.uint16).reshape(-1, CHUNK)
     order = np.lexsort((found["share"], found["chunk"]))  # the arrival order of rows must not matter
     y, w = found["label"].to_numpy(np.float32)[order], found["share"].to_numpy()[order]
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFr
     bounded_batches(docs.sparkSession)
     kept = [F.struct(*keep).alias("kept")] if keep else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
-    return docs.mapInArrow(_scorer(model), "doc_id long, score double" + (f", kept {docs.schema['kept'].dataType.simpleString()}" if keep else ""))
+    return docs.mapInArrow(lean(_scorer(model)), "doc_id long, score double" + (f", kept {docs.schema['kept'].dataType.simpleString()}" if keep else ""))
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, keep: list[str] | None = None) -> DataFrame:

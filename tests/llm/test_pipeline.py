@@ -116,3 +116,21 @@ def test_release_leaves_other_results_alone(spark, corpus):
     P.lines(spark, docs.selectExpr("*", "'en' lang", "'s' source", "1L n_chars"), corpus[0]).count()
     P.decontaminate(spark, docs.selectExpr("*", "'en' lang", "'s' source", "1L n_chars"), corpus[0]).count()
     assert held.filter("kept").count() == 2
+
+
+def test_workers_give_back_what_a_task_took(monkeypatch):
+    import pathlib
+    import re
+
+    from kindredge.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    assert list(common.lean(lambda batches: (x + 1 for x in batches))([1, 2])) == [2, 3] and seen == ["back"]
+    stopped = common.lean(lambda batches: (x for x in batches))([1, 2])
+    next(stopped)
+    stopped.close()
+    assert seen == ["back"] * 2
+    for name in ("quality", "near_dedup", "decontaminate", "packing"):  # the stages of the pipeline that have Python workers
+        text = (pathlib.Path(common.__file__).parent / f"{name}.py").read_text()
+        assert re.findall(r"\.mapInArrow\((.{5})", text) and set(re.findall(r"\.mapInArrow\((.{5})", text)) == {"lean("}
