@@ -26,6 +26,8 @@ END_ID = 1
 GROUP = 4096
 #: Pieces whose ids a worker remembers, and the characters of the longest that it does.
 MEMO, KEPT = 600_000, 64
+#: Characters of texts whose new pieces are learned at once.
+TOGETHER = 1 << 19
 
 
 # In Latin-1 text the pre-tokenizer's pieces can be found by one pattern on the lower-cased text; other texts go through
@@ -40,8 +42,8 @@ _LETTERS = re.compile(f"[{_LETTER}]+")
 _MET: dict[str, dict[str, bytes]] = {}
 
 
-def _encoder(tokenizer: str, end_id: int):
-    """Text -> its ids as little-endian 32-bit bytes. Pieces and words already met are looked up."""
+def _group_encoder(tokenizer: str, end_id: int):
+    """Texts -> their ids as little-endian 32-bit bytes. Pieces and words already met are looked up, new ones are learned together."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer)
@@ -61,45 +63,68 @@ def _encoder(tokenizer: str, end_id: int):
             new = list(dict.fromkeys(pieces))
         ids: dict[str, bytes] = {}
         letters = [p for p in new if _LETTERS.fullmatch(p)]  # lower-case Latin-1 letters: one piece each, closed by its last token
-        for a in range(0, len(letters), 200):
-            part = letters[a: a + 200]
-            found = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        parts = [letters[a: a + 200] for a in range(0, len(letters), 200)]
+        for part, e in zip(parts, tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False) if parts else (), strict=True):
+            found = np.array(e.ids, "<u4")
             ends = np.flatnonzero(closing[found]) + 1
             if len(ends) != len(part):  # a vocabulary whose pieces do not close words
                 ids.update(zip(part, alone(part), strict=True))
                 continue
-            raw, at = found.tobytes(), 0
-            for p, e in zip(part, (ends * 4).tolist(), strict=True):
-                ids[p] = raw[at:e]
-                at = e
+            raw, ends = found.tobytes(), (ends * 4).tolist()
+            ids.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         rest = [p for p in new if p not in ids]
         ids.update(zip(rest, alone(rest), strict=True))
         memo.update((p, x) for p, x in ids.items() if len(p) <= KEPT)
         return ids
 
-    def encode(text: str) -> bytes:
-        pieces = _PIECE.findall(text.lower()) if _PLAIN.fullmatch(text) else _WORD.findall(text)
-        try:
-            return b"".join([*map(memo.__getitem__, pieces), end])
-        except KeyError:
-            new = learn(pieces)
-            return b"".join([*(new[p] if p in new else memo[p] for p in pieces), end])
+    def encode(texts: list[str]) -> list[bytes]:
+        out, left = [], {}
+        for i, text in enumerate(texts):
+            pieces = _PIECE.findall(text.lower()) if _PLAIN.fullmatch(text) else _WORD.findall(text)
+            try:
+                out.append(b"".join([*map(memo.__getitem__, pieces), end]))
+            except KeyError:
+                out.append(b"")
+                left[i] = pieces
+        new = learn([p for pieces in left.values() for p in pieces])  # of all texts at once
+        for i, pieces in left.items():
+            out[i] = b"".join([*(new[p] if p in new else memo[p] for p in pieces), end])
+        return out
 
     return encode
 
 
+def _encoder(tokenizer: str, end_id: int):
+    """The same of a single text."""
+    encode = _group_encoder(tokenizer, end_id)
+    return lambda text: encode([text])[0]
+
+
+def _runs(texts: list[str]):
+    """(first, last) of consecutive texts of about TOGETHER characters."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > TOGETHER:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield first, len(texts)
+
+
 def _piece_cutter(tokenizer: str, capacity: int, end_id: int):
     def run(batches):
-        encode = _encoder(tokenizer, end_id)
+        encode = _group_encoder(tokenizer, end_id)
         for batch in batches:
             out = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "")
-                n = len(ids) // 4
-                for a in range(0, n, capacity):
-                    b = min(n, a + capacity)
-                    for k, v in zip(out, (doc, a, b - a, zlib.crc32(ids[4 * a: 4 * b]), n), strict=True):
-                        out[k].append(v)
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for first, last in _runs(texts):
+                for doc, ids in zip(docs[first:last], encode(texts[first:last]), strict=True):
+                    n = len(ids) // 4
+                    for a in range(0, n, capacity):
+                        b = min(n, a + capacity)
+                        for k, v in zip(out, (doc, a, b - a, zlib.crc32(ids[4 * a: 4 * b]), n), strict=True):
+                            out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
     return run

@@ -78,3 +78,20 @@ def test_turkish_capitals_pack(spark):
     got = pack(spark.createDataFrame([(1, "D\u0130YARBAKIR \u0130"), (2, "plain")], "doc_id long, text string"), PATH).collect()
     tok = Tokenizer.from_file(PATH)
     assert {x.doc_id: x.doc_tokens for x in got} == {1: len(tok.encode("D\u0130YARBAKIR \u0130", add_special_tokens=False).ids) + 1, 2: 2}
+
+
+def test_new_pieces_of_many_texts_are_learned_together(monkeypatch):
+    import numpy as np
+
+    from kindredge.llm import packing
+
+    monkeypatch.setattr(packing, "_MET", {})
+    monkeypatch.setattr(packing, "MEMO", 40)  # cleared in between
+    tok, r = Tokenizer.from_file(PATH), random.Random(3)
+    texts = [" ".join("".join(r.choices("abcde'.,1\u00e9\u4e2d", k=r.randint(1, 6))) for _ in range(r.randint(0, 30))) for _ in range(60)]
+    encode = packing._group_encoder(PATH, END_ID)
+    for a, b in ((0, 1), (1, 40), (40, 60), (0, 60)):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts[a:b])]
+        assert got == [[*tok.encode(t, add_special_tokens=False).ids, END_ID] for t in texts[a:b]]
+    monkeypatch.setattr(packing, "TOGETHER", 10)
+    assert [i for a, b in packing._runs(texts) for i in range(a, b)] == list(range(60)) and not list(packing._runs([]))
