@@ -3,7 +3,8 @@
 Equal lines are one class at any length. Beyond that, lines are joined within an edit distance, by bands: a ``Band`` says
 in which units (characters, or words between single blanks) lines are compared, how long the shorter of two lines is, and
 how many edits ``tau`` may part them. By default lines of 32 characters or more
-may differ by a character, and lines of 20 words or more by a whole word.
+may differ by a character, and lines of 20 words or more by a whole word; with ``GROWING``
+by a word in twenty, up to three.
 
 Two lines within ``tau`` edits share at least one of tau + 1 segments of the shorter, unchanged and shifted by little
 (pigeonhole principle). Every line is cut into its segments, which are hashed with its length and their number (the
@@ -35,6 +36,8 @@ class Band(NamedTuple):
 
 WHOLE = (1 << 31) - 1
 BANDS = (Band("chars", 32, WHOLE, 1), Band("words", 20, WHOLE, 1))
+#: Edits grow with the line: a character, and a word in twenty, up to three: op3_line_dedup's bands.
+GROWING = (Band("chars", 32, WHOLE, 1), Band("words", 20, 40, 1), Band("words", 40, 60, 2), Band("words", 60, WHOLE, 3))
 BITS = 56
 
 
@@ -67,6 +70,20 @@ def _hashed(number: int, band: Band, length: Column, i: int, at: Column, size: C
     return F.xxhash64(F.lit(number), length, F.lit(i), part)
 
 
+def most_words(bands: tuple[Band, ...]) -> tuple[int, ...]:
+    """Words of the longest lines that each of ``bands`` needs keys of. An edited character edits two words at most (a blank
+    that comes or goes), so where word bands allow twice the edits at any length on, they link all that characters would."""
+    def most(band: Band) -> int:
+        least = WHOLE
+        for other in sorted((b for b in bands if b.unit == "words"), key=lambda b: b.least, reverse=True):
+            if other.tau < 2 * band.tau or other.below < least:
+                break
+            least = other.least
+        return WHOLE if band.unit == "words" or least == WHOLE else least - 1 + band.tau
+
+    return tuple(most(b) for b in bands)
+
+
 class Key(NamedTuple):
     """A hash (null where the row has none), its band, and by how much the lines that it seeks are shorter."""
 
@@ -75,19 +92,19 @@ class Key(NamedTuple):
     gap: int
 
 
-def index_keys(bands: tuple[Band, ...]) -> list[Key]:
-    """Of a row (line, chars, n_words): its segments, in the bands that its length belongs to."""
+def index_keys(bands: tuple[Band, ...], most: tuple[int, ...] | None = None) -> list[Key]:
+    """Of a row (line, chars, n_words): its segments, in the bands that its length belongs to, ``most`` words at most."""
     out = []
     for number, band in enumerate(bands):
         n = F.col("chars" if band.unit == "chars" else "n_words")
-        inside = (n >= band.least) & (n < band.below)
+        inside = (n >= band.least) & (n < band.below) & (F.col("n_words") <= (most[number] if most else WHOLE))
         for i in range(band.tau + 1):
             at, size = _segment(n, i, band.tau)
             out.append(Key(F.when(inside, _hashed(number, band, n, i, at, size, i == 0, i == band.tau)), number, 0))
     return out
 
 
-def probe_keys(bands: tuple[Band, ...]) -> list[Key]:
+def probe_keys(bands: tuple[Band, ...], most: tuple[int, ...] | None = None) -> list[Key]:
     """Of a row (line, chars, n_words): where segments of lines by ``gap`` shorter can lie in it, but for its own segments in
     their places, which the index holds."""
     out = []
@@ -95,7 +112,7 @@ def probe_keys(bands: tuple[Band, ...]) -> list[Key]:
         for gap in range(band.tau + 1):
             n, tau = F.col("chars" if band.unit == "chars" else "n_words"), band.tau
             length = n - gap
-            inside = (length >= band.least) & (length < band.below)
+            inside = (length >= band.least) & (length < band.below) & (F.col("n_words") <= (most[number] if most else WHOLE))
             for i in range(tau + 1):
                 start, size = _segment(length, i, tau)
                 for shift in range(max(-i, gap - (tau - i)), min(i, gap + tau - i) + 1):
@@ -170,6 +187,7 @@ def _parts(line: str, unit: str) -> Column:
 
 def edit_links(lines: DataFrame, work: Work, bands: tuple[Band, ...] = BANDS) -> DataFrame:
     """``lines`` (line), repeated or not -> (a, b), MD5s of different lines linked in any band, each pair once."""
+    most = most_words(bands)
     distinct = lines.select("line").distinct().select("line", F.length("line").alias("chars"), F.split("line", " ", -1).alias("words"))
 
     def keyed(keys: list[Key]) -> DataFrame:
@@ -183,12 +201,12 @@ def edit_links(lines: DataFrame, work: Work, bands: tuple[Band, ...] = BANDS) ->
 
     # made anew for each side, not joined with itself: only so does Spark see equal exchanges and run each once
     side = lambda keys, h, parity, *more: keyed(keys).select("key", "band", F.col("h").alias(h), F.col("parity").alias(parity), *more)
-    held = lambda: side(index_keys(bands), "a", "wa")
+    held = lambda: side(index_keys(bands, most), "a", "wa")
     edits = F.element_at(F.array(*[F.lit(3 * x.tau) for x in bands]), F.col("band") + 1)
     alike = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= edits
     # the index meets itself, then the probes
-    pairs = held().join(side(index_keys(bands), "b", "wb"), ["key", "band"]).filter((F.col("a") < F.col("b")) & alike).select("a", "b", "band")
-    if probes := probe_keys(bands):
+    pairs = held().join(side(index_keys(bands, most), "b", "wb"), ["key", "band"]).filter((F.col("a") < F.col("b")) & alike).select("a", "b", "band")
+    if probes := probe_keys(bands, most):
         once = (F.col("a") != F.col("b")) & ((F.col("gap") > 0) | (F.col("a") < F.col("b")))
         pairs = pairs.union(held().join(side(probes, "b", "wb", "gap"), ["key", "band"]).filter(once & alike).select("a", "b", "band"))
     pairs = pairs.distinct()

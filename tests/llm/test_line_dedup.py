@@ -172,3 +172,25 @@ def test_own_segments_are_hashed_and_exchanged_once(spark):
     for bands in (BANDS, (Band("chars", 8, WHOLE, 2), Band("words", 3, WHOLE, 2))):
         for row in rows.select(F.array(*[k.key for k in index_keys(bands)]), F.array(*[k.key for k in probe_keys(bands)])).collect():
             assert len(set(row[0])) == len(row[0]) and not set(row[0]) & set(row[1])
+
+
+def test_edits_grow_with_the_line(spark, tmp_path):
+    """A word in twenty, whichever words; a character or a blank more in long lines, whose keys are those of words alone."""
+    from kindredge.llm.line_dedup import GROWING, most_words
+
+    assert most_words(GROWING) == (40, *[WHOLE] * 3) and most_words(BANDS) == (WHOLE, WHOLE)
+    r, rows, want = random.Random(11), [], {}
+    for k, (words, edits) in enumerate([(39, 1), (40, 2), (59, 2), (60, 3), (79, 3), (200, 3), (39, 2), (59, 3), (60, 4)]):
+        line = [f"w{k}x{r.randrange(10 ** 6)}" for _ in range(words)]
+        other = list(line)
+        for at in r.sample(range(words), edits):
+            other[at] = "changed" + str(at)
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+        want[2 * k + 1] = 2 * k if k < 6 else 2 * k + 1
+    for k, words in enumerate((38, 39, 40, 41, 80), 50):  # a blank parts a word, or goes
+        line = [f"w{k}x{r.randrange(10 ** 6)}" for _ in range(words)]
+        rows += [(3 * k, " ".join(line)), (3 * k + 1, " ".join(line).replace("x", " x", 1)), (3 * k + 2, " ".join(line).replace(" ", "", 1))]
+        want |= {3 * k + 1: 3 * k, 3 * k + 2: 3 * k}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.class_doc_id for x in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert {d: got[d] for d in want} == want
