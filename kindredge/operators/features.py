@@ -9,7 +9,6 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..plans.store import grown
 
-TOKENS = 6
 NONE = lambda kind="double": F.lit(None).cast(kind)
 
 
@@ -37,9 +36,9 @@ def idf(s1: DataFrame, column: str) -> DataFrame:
 
 
 def with_idf(d: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
-    """Attach array<struct<token, idf>> of a record's first tokens: one join a record, not a pair; unknown tokens weigh most."""
+    """Attach array<struct<token, idf>> of all of a record's tokens: one join a record, not a pair; unknown tokens weigh most."""
     worst = table.agg(F.max("idf").alias("worst"))
-    t = d.select("entity_id", F.posexplode(F.slice(column, 1, TOKENS)).alias("at", "token")).join(table, "token", "left").crossJoin(F.broadcast(worst))
+    t = d.select("entity_id", F.posexplode(column).alias("at", "token")).join(table, "token", "left").crossJoin(F.broadcast(worst))
     t = t.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("at", "token", F.coalesce("idf", "worst", F.lit(0.0)).alias("idf")))).alias(name))
     return d.join(grown(t), "entity_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<at:int,token:string,idf:double>>")))
 
@@ -47,7 +46,8 @@ def with_idf(d: DataFrame, table: DataFrame, column: str, name: str) -> DataFram
 def rarity(a: Column, b: Column, name: str) -> dict[str, Column]:
     """Shares of each side's rarity found on the other, and the rarest common token; NULL shares where a side weighs nothing."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, t: acc + t["idf"])
-    common = lambda x, y: F.filter(x, lambda t: F.exists(y, lambda u: u["token"] == t["token"]))
+    # the other side's tokens are taken out once a pair; lists are of any length
+    common = lambda x, y: F.get(F.transform(F.array(y["token"]), lambda w: F.filter(x, lambda t: F.array_contains(w, t["token"]))), F.lit(0))
     share = lambda x, y: F.when(total(x) > 0, F.round(total(common(x, y)) / total(x), 9))
     rare = F.round(F.coalesce(F.array_max(F.transform(common(a, b), lambda t: t["idf"])), F.lit(0.0)), 9)
     return {f"{name}_cov1": share(a, b), f"{name}_cov2": share(b, a), f"{name}_rare": rare}

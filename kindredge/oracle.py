@@ -15,7 +15,8 @@ def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-def _chain() -> list[tuple[str, str]]:
+def _chain(rarity: str = "[1:6]") -> list[tuple[str, str]]:
+    """``rarity``: the part of the token lists that the columns of rarity are made of; only er_rarity reads them, whole."""
     alias = T.ALIAS
     noise = r"\([ \t]*id:?[ \t]*[0-9]+[ \t]*\)|[ \t]*\|.*$|\bm/s\b"
     url = r"\.(?:com|in|net|org|fr|co|io)\b|^[@#]|www\."
@@ -76,7 +77,7 @@ def _chain() -> list[tuple[str, str]]:
     for col, name in (("core", "nm"), ("addr_tokens", "ad")):
         chain += [
             (f"{name}_tab", f"SELECT token, ln((SELECT count(*) FROM s1_business) / count(*)) AS idf FROM (SELECT unnest({col}) AS token FROM fin WHERE src = 1) GROUP BY token"),
-            (f"{name}_list", f"""SELECT entity_id, list({{'token': t.token, 'idf': coalesce(i.idf, (SELECT max(idf) FROM {name}_tab))}} ORDER BY pos) AS l FROM (SELECT entity_id, unnest({col}[1:6]) AS token, unnest(range(len({col}[1:6]))) AS pos FROM fin) t LEFT JOIN {name}_tab i ON i.token = t.token GROUP BY entity_id"""),
+            (f"{name}_list", f"""SELECT entity_id, list({{'token': t.token, 'idf': coalesce(i.idf, (SELECT max(idf) FROM {name}_tab))}} ORDER BY pos) AS l FROM (SELECT entity_id, unnest({col}{rarity}) AS token, unnest(range(len({col}{rarity}))) AS pos FROM fin) t LEFT JOIN {name}_tab i ON i.token = t.token GROUP BY entity_id"""),
         ]
     chain += [
         ("ncount", "SELECT country, name_core, count(*) AS name_n FROM fin WHERE src = 1 GROUP BY ALL"),
@@ -207,8 +208,8 @@ def _endings() -> dict[str, str]:
     }
 
 
-def statements() -> dict[str, str]:
-    chain = _chain() + _entities("ent", "sel") + _entities("ceil", "(SELECT s1_id, c_id FROM pairs SEMI JOIN truth USING (s1_id, c_id))")
+def _with(base: list[tuple[str, str]]) -> str:
+    chain = base + _entities("ent", "sel") + _entities("ceil", "(SELECT s1_id, c_id FROM pairs SEMI JOIN truth USING (s1_id, c_id))")
     chain += [("kc", "SELECT DISTINCT src, entity_id, unnest(list_transform(addr_comps, lambda x: concat_ws('|', country, x))) AS comp FROM base"),
               ("tr", f"SELECT * FROM truth WHERE (CAST(concat('0x', substr(md5(s1_id), 1, 8)) AS BIGINT) % 10000) / 10000 >= {SPLIT.valid} AND (CAST(concat('0x', substr(md5(s1_id), 1, 8)) AS BIGINT) % 10000) / 10000 < {SPLIT.valid + SPLIT.train}"),
               ("bc", f"SELECT src, entity_id, country, array_to_string(CASE WHEN len(list_filter(name_tokens, lambda x: NOT list_contains({_list(T.LEGAL)}, x))) > 0 THEN list_filter(name_tokens, lambda x: NOT list_contains({_list(T.LEGAL)}, x)) ELSE name_tokens END, ' ') AS name, all_nums[1] AS num, all_nums[1:3] AS n3 FROM base"),
@@ -219,5 +220,9 @@ def statements() -> dict[str, str]:
   LEFT JOIN (SELECT t.s1_id, bool_or(f_pseudo OR f_alias OR f_url) AS odd, bool_or(f_empty_addr) AS bare FROM truth t JOIN fin ON fin.entity_id = t.c_id GROUP BY t.s1_id) o ON o.s1_id = e.s1_id
   LEFT JOIN (SELECT d.s1_id, bool_or(d.y = 0 AND f.nm_exact = 1) AS near, count(*) AS k FROM scored d JOIN feats f ON f.s1_id = d.s1_id AND f.c_id = d.c_id GROUP BY d.s1_id) n ON n.s1_id = e.s1_id"""),
               ("lab", "SELECT CAST(n_chars AS DOUBLE) AS p, quality AS y FROM labels JOIN documents USING (doc_id)")]
-    text = ",\n".join(f"{n} AS MATERIALIZED ({q})" if n in ("base", "fin", "keys", "votes", "pairs", "feats", "scored", "owned", "chosen", "sel") else f"{n} AS ({q})" for n, q in chain)
-    return {name: f"WITH {text}\n{end}" for name, end in _endings().items()}
+    return ",\n".join(f"{n} AS MATERIALIZED ({q})" if n in ("base", "fin", "keys", "votes", "pairs", "feats", "scored", "owned", "chosen", "sel") else f"{n} AS ({q})" for n, q in chain)
+
+
+def statements() -> dict[str, str]:
+    text, whole = _with(_chain()), _with(_chain(rarity=""))
+    return {name: f"WITH {whole if name == 'er_rarity' else text}\n{end}" for name, end in _endings().items()}

@@ -239,6 +239,26 @@ def test_rarity_shares(spark):
         assert abs(x.nm_rare - max(common, default=0)) < 1e-8
 
 
+def test_rarity_reads_lists_to_their_end(spark):
+    """Lists longer than six tokens, with repeats and words that source 1 lacks, against plain loops."""
+    r = random.Random(4)
+    bags = [[f"w{r.randint(0, 29 if i < 12 else 34)}" for _ in range(r.randint(7, 40))] for i in range(20)]
+    kind = "entity_id string, name_tokens array<string>"
+    s1, two = (spark.createDataFrame([(str(i), bags[i]) for i in part], kind) for part in (range(12), range(12, 20)))
+    table = features.idf(s1, "name_tokens")
+    idf = {w: log(12 / sum(b.count(w) for b in bags[:12])) for w in {w for b in bags[:12] for w in b}}
+    weight = lambda w: idf.get(w, max(idf.values()))
+    a, b = (features.with_idf(d, table, "name_tokens", n).select(F.col("entity_id").alias(k), n) for d, n, k in ((s1, "x", "i"), (two, "y", "j")))
+    got = a.crossJoin(b).select("i", "j", *[c.alias(n) for n, c in features.rarity(F.col("x"), F.col("y"), "nm").items()]).collect()
+    assert len(got) == 12 * 8 and any(w not in idf for b in bags[12:] for w in b)
+    for x in got:
+        one, other = bags[int(x.i)], bags[int(x.j)]
+        for share, left, right in ((x.nm_cov1, one, other), (x.nm_cov2, other, one)):
+            total = sum(map(weight, left))
+            assert share is None if total <= 0 else abs(share - sum(weight(w) for w in left if w in right) / total) < 1e-8
+        assert abs(x.nm_rare - max((weight(w) for w in one if w in other), default=0)) < 1e-8
+
+
 def test_scorers_against_slow_versions():
     def table(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

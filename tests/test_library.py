@@ -41,6 +41,24 @@ def test_same_rows_as_sql(spark, sf, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+def test_rarity_of_long_texts_same_rows_as_sql(spark, sf, tmp_path):
+    """Names and addresses of more than six words that differ after the sixth only: code and SQL read them to their end."""
+    con = duckdb.connect()
+    long = {"customer": "SELECT * FROM {} WHERE c_custkey <= 40", "part": "SELECT * REPLACE (concat('amber birch cedar dune ember flint grove ', p_partkey % 9, 'x ', p_name) AS p_name, 'PROMO' AS p_type) FROM {} WHERE p_partkey <= 40",
+            "nation": "SELECT * REPLACE (concat('great old north river hill lake bay ', n_name) AS n_name) FROM {}", "region": "SELECT * FROM {}"}
+    for t, q in long.items():
+        con.execute(f"COPY ({q.format(f"'{sf}/{t}.parquet'")}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM '{sf}/labels.parquet'")
+    got = catalog.queries()["er_rarity"](spark, str(tmp_path))
+    cur = con.execute(oracle.statements()["er_rarity"])
+    had = got.collect()
+    assert rows(got.columns, [tuple(r) for r in had]) == rows([c[0] for c in cur.description], cur.fetchall())
+    # the first six words are those of every record: alone they weigh nothing and have no share
+    assert len(had) > 40 and all(any(x is not None and x < 1 for x in (r[f"{n}_idf_cov1"] for r in had)) for n in ("nm", "ad"))
+
+
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {n for n in entry.queries() if n.startswith("er_")} - set(entry.oracle_sql()) == {"er_url_segments", "er_string_scores", "er_noise_rates", "er_synthetic", "er_trained"}
